@@ -14,6 +14,32 @@ def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightwell.llm.decontam import find_spans
+
+    found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    items = F.array_sort(F.coalesce("found.items", F.array().cast("array<string>")))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("found.n_words").alias("n_words"),
+        F.col("found.n_hit").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.encode(F.concat_ws(",", items), "UTF-8"), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from brightwell.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select(F.col("row.doc_id").alias("doc_id"), F.col("found.ids").alias("ids"))
+    back = decode(coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(F.concat_ws(",", F.col("ids").cast("array<string>")), "UTF-8"), 256).alias("ids_sha256")), path)
+    return back.select("row.doc_id", "row.n_tokens", "row.ids_sha256", F.sha2(F.encode("found.decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brightwell.llm.warc import read_archives, write_archives
 
@@ -24,6 +50,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_karmarkar_karp": op4_karmarkar_karp,
+    "op5_decontamination": op5_decontamination,
+    "op6_bpe": op6_bpe,
     "op9_warc": op9_warc,
 }
 

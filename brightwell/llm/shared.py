@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words: space and the ASCII controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -54,3 +59,28 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 def lower_ascii(column):
     """Lower-case A-Z only; every other character stays."""
     return F.translate(column, UPPER, LOWER)
+
+
+def packed(df: DataFrame, *columns) -> DataFrame:
+    """The whole row as struct `row`, beside `columns`: no name of df can clash with a result's."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *columns)
+
+
+def map_rows(df: DataFrame, columns: list, function, found: T.StructType) -> DataFrame:
+    """(row, found) for each row: function maps batches of (row, *columns) to batches of (row, found)."""
+    kept = packed(df, *columns)
+    schema = T.StructType([T.StructField("row", kept.schema["row"].dataType), T.StructField("found", found)])
+    return kept.mapInArrow(function, schema)
+
+
+def pieces(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch cut into pieces of about most_bytes in one column, so that buffers stay small."""
+    held = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(held), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
