@@ -40,6 +40,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("row.doc_id", "row.n_tokens", "row.ids_sha256", F.sha2(F.encode("found.decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightwell.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4, seed=42)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brightwell.llm.warc import read_archives, write_archives
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
     "op9_warc": op9_warc,
 }
 
