@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightwell.llm import quality_rules
 from brightwell.llm.shared import shared_path, table
 
 
@@ -54,12 +55,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightwell.llm.quality_rules import judge
+
+    judged = judge(table(spark, sf_dir, "documents"), keep=F.col("doc_id"))
+    return judged.select(F.col("row").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 QUERIES = {
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op9_warc": op9_warc,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.ORACLE}
