@@ -47,6 +47,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4, seed=42)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightwell.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), folds=7, held_fold=2)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brightwell.llm.warc import read_archives, write_archives
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
