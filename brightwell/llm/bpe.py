@@ -35,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WIDE_SPACES = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = r"\t-\r " + WIDE_SPACES
 ASCII_SPACES = "\t\n\x0b\x0c\r "
-_CACHE_ITEMS, _CACHE_CHARS = 250_000, 64
+_CACHE_ITEMS, _CACHE_CHARS, _NEVER = 250_000, 64, 1 << 62
 
 
 def byte_characters() -> dict[str, int]:
@@ -78,11 +78,14 @@ class ForcedBPE:
             self.tokens[i] = t
         for t, i in self.added.items():
             self.tokens[i] = t.encode()
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The place of each merge in the file, and the token that it makes.
+        ranks: dict[tuple[int, int], int] = {}
+        self.rank, self.made = ranks.get, []
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             a, b = raw(a), raw(b)
-            self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
+            ranks[self.ids[a], self.ids[b]] = r
+            self.made.append(self.ids[a + b])
         self.inside = np.zeros((256, 256), bool)
         for t in self.ids:
             if len(t) > 1:
@@ -101,45 +104,48 @@ class ForcedBPE:
         #: Tokens that their own bytes merge into: found once by merging, not assumed.
         self.known: set[bytes] = set()
         self.known = {t for t, i in self.ids.items() if self._merge(t) == [i]}
-        self.cache = _Cache(self._fragment)
+        self.cache, self.pieces = _Cache(self._fragment), _Cache(self._piece)
 
     def _fragment(self, fragment: str) -> bytes:
-        out, inside = array("i"), self.pairs
-        for piece in self.pattern.findall(fragment):
-            data = piece.encode("utf-8", "surrogatepass")
-            start = 0
-            for i, pair in enumerate(zip(data, data[1:]), 1):
-                if pair not in inside:
-                    out.extend(self._merge(data[start:i]))
-                    start = i
-            out.extend(self._merge(data[start:]))
-        return out.tobytes()
+        # A fragment of letters, with or without a space before, is one piece of the pattern.
+        letters = fragment[1:] if fragment[0] == " " else fragment
+        if letters.isalpha():
+            return self._piece(fragment)
+        if letters[:-1].isalpha() and letters[-1] in ",.!?:;":
+            return self.pieces[fragment[:-1]] + self.pieces[fragment[-1]]
+        return b"".join(map(self._piece, self.pattern.findall(fragment)))
+
+    def _piece(self, piece: str) -> bytes:
+        data, inside, out, start = piece.encode("utf-8", "surrogatepass"), self.pairs, [], 0
+        for i, pair in enumerate(zip(data, data[1:]), 1):
+            if pair not in inside:
+                out += self._merge(data[start:i])
+                start = i
+        out += self._merge(data[start:])
+        return array("i", out).tobytes()
 
     def _merge(self, data: bytes) -> list[int]:
         if data in self.known:
             return [self.ids[data]]
-        ids, rank = [self.single[b] for b in data], self.rank
-        if len(ids) <= 24:
-            while len(ids) > 1:
-                best = min((r for r in (rank.get(p) for p in zip(ids, ids[1:])) if r), default=None)
-                if best is None:
-                    break
-                out, i, n = [], 0, len(ids)
-                while i < n:
-                    if i + 1 < n and rank.get((ids[i], ids[i + 1])) == best:
-                        out.append(best[1])
-                        i += 2
-                    else:
-                        out.append(ids[i])
-                        i += 1
-                ids = out
+        ids, rank, made = [self.single[b] for b in data], self.rank, self.made
+        if len(ids) <= 64:
+            ranks = [rank(p, _NEVER) for p in zip(ids, ids[1:])]
+            while ranks and (least := min(ranks)) < _NEVER:
+                i = ranks.index(least)
+                ids[i] = made[least]
+                del ids[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = rank((ids[i - 1], ids[i]), _NEVER)
+                if i < len(ranks):
+                    ranks[i] = rank((ids[i], ids[i + 1]), _NEVER)
             return ids
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r[0], i, r[1], ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]), _NEVER)) < _NEVER]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
+            new = made[r]
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
@@ -147,10 +153,10 @@ class ForcedBPE:
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if r := rank.get((new, ids[k])):
-                    heapq.heappush(heap, (r[0], i, r[1], new, ids[k]))
-            if (p := before[i]) >= 0 and (r := rank.get((ids[p], new))):
-                heapq.heappush(heap, (r[0], p, r[1], ids[p], new))
+                if (r := rank((new, ids[k]), _NEVER)) < _NEVER:
+                    heapq.heappush(heap, (r, i, new, ids[k]))
+            if (p := before[i]) >= 0 and (r := rank((ids[p], new), _NEVER)) < _NEVER:
+                heapq.heappush(heap, (r, p, ids[p], new))
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
