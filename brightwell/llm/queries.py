@@ -9,6 +9,12 @@ from brightwell.llm import quality_rules
 from brightwell.llm.shared import shared_path, table
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightwell.llm.classifier import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brightwell.llm.sharding import shard_documents
 
@@ -69,6 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
