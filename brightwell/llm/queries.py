@@ -9,6 +9,12 @@ from brightwell.llm import quality_rules
 from brightwell.llm.shared import shared_path, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightwell.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brightwell.llm.classifier import judge
 
@@ -75,6 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_decontamination": op5_decontamination,

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 #: White space that separates words: space and the ASCII controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -52,7 +53,12 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    held = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the shuffle files of this write go when it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, held)
     return spark.read.schema(df.schema).parquet(path), path
 
 
