@@ -15,6 +15,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightwell.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("found.matches", lambda m: m["license"])))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("found.n_blocks").alias("n_blocks"), F.size("found.matches").cast("long").alias("n_matches"), F.concat_ws(",", names).alias("licenses"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brightwell.llm.classifier import judge
 
@@ -82,6 +90,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_karmarkar_karp": op4_karmarkar_karp,
     "op5_decontamination": op5_decontamination,
