@@ -35,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WIDE_SPACES = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = r"\t-\r " + WIDE_SPACES
 ASCII_SPACES = "\t\n\x0b\x0c\r "
-_CACHE_ITEMS, _CACHE_CHARS, _NEVER = 250_000, 64, 1 << 62
+_CACHE_ITEMS, _CACHE_CHARS, _NEVER = 300_000, 64, 1 << 62
 
 
 def byte_characters() -> dict[str, int]:
@@ -50,12 +50,17 @@ def byte_characters() -> dict[str, int]:
 
 
 class _Cache(dict):
-    """Token bytes of each fragment; emptied when full, and long fragments are not kept."""
+    """Token bytes of each fragment; emptied when full, and long fragments are not kept.
+
+    A word with one mark behind it is two pieces of the pattern, so only the word is kept.
+    """
 
     def __init__(self, encode):
         self.encode = encode
 
     def __missing__(self, fragment: str) -> bytes:
+        if fragment[-1] in ",.!?:;" and (fragment[1:-1] if fragment[0] == " " else fragment[:-1]).isalpha():
+            return self[fragment[:-1]] + self[fragment[-1]]
         ids = self.encode(fragment)
         if len(fragment) <= _CACHE_CHARS:
             if len(self) >= _CACHE_ITEMS:
@@ -104,15 +109,13 @@ class ForcedBPE:
         #: Tokens that their own bytes merge into: found once by merging, not assumed.
         self.known: set[bytes] = set()
         self.known = {t for t, i in self.ids.items() if self._merge(t) == [i]}
-        self.cache, self.pieces = _Cache(self._fragment), _Cache(self._piece)
+        self.cache = _Cache(self._fragment)
 
     def _fragment(self, fragment: str) -> bytes:
         # A fragment of letters, with or without a space before, is one piece of the pattern.
         letters = fragment[1:] if fragment[0] == " " else fragment
         if letters.isalpha():
             return self._piece(fragment)
-        if letters[:-1].isalpha() and letters[-1] in ",.!?:;":
-            return self.pieces[fragment[:-1]] + self.pieces[fragment[-1]]
         return b"".join(map(self._piece, self.pattern.findall(fragment)))
 
     def _piece(self, piece: str) -> bytes:
@@ -186,7 +189,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(held.value)
         for whole in batches:
-            for batch in pieces(whole, 1):
+            for batch in pieces(whole, 1, 1 << 20):
                 found = [bpe.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
