@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwell.llm.lm import tally
-from brightwell.llm.shared import pieces, written
+from brightwell.llm.shared import pieces, small_batches, written
 
 _U = np.uint64
 ORDER, BITS = 5, 7
@@ -192,6 +192,7 @@ def judge(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_byte
 
     labels has doc_id, quality (1: trusted) and toxic (1: not trusted after all).
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col, lang_col)
     trusted = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False)) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("good")).where("good").select("doc_id")

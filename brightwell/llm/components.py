@@ -26,22 +26,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) for every node of edges (a, b), which may repeat and be in any order.
+def _is_stars(edges: DataFrame, n: int) -> bool:
+    """Whether each edge leads from a node of one edge to a root."""
+    if edges.select("a").distinct().count() < n:
+        return False
+    return not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+
+
+def connected_components(edges: DataFrame, label: str = "components") -> tuple[DataFrame, str]:
+    """(node, root) for every node of edges (a, b), which may repeat and be in any order; and where it is written.
 
     root is the smallest node of the component. Nodes may be of any type that Spark orders;
     rows with a null end or with equal ends link nothing and are left out.
     """
     spark = edges.sparkSession
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    now, path = written(now, label)
-    seen = None
+    now, path = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), None
+    n = edges.count()
     while True:
-        state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-        if state == seen or not state[0]:
+        following, at = written(_small_star(_large_star(_small_star(_large_star(now)))), label, n)
+        if path:
+            drop_path(spark, path)
+        now, path, n = following, at, following.count()
+        if _is_stars(now, n):
             break
-        seen = state
-        following, at = written(_small_star(_large_star(now)), label)
-        drop_path(spark, path)
-        now, path = following, at
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return found, path

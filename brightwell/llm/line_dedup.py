@@ -8,9 +8,10 @@ that meet are verified by the exact Jaccard similarity of their shingle sets, an
 union-find joins them. Of each component the line of the first position stays: by document id
 (null last), then by the text's hash, then by its place in the document.
 
-In a band only pairs with the band's first line are made at first; pairs of other lines follow
-only where a band is left in more than one component, and only across components, so copies and
-dense groups never yield their square, and no link that a band holds is lost. Equal lines count
+In a band each line is first verified against the band's first line only; other lines of a band
+follow only where it is left in more than one component, only across components, and inside a join
+that gives out true links alone. So copies and dense groups never yield their square, and no link
+that a band holds is lost. Equal lines count
 as one throughout, however many there are.
 
 Defined cases: a line without a word is never removed; a null text stays null; rows that repeat
@@ -20,7 +21,7 @@ gives an empty table. Columns are kept whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwell.llm.components import connected_components
@@ -29,6 +30,10 @@ from brightwell.llm.shared import drop_path, written
 K = 9
 BOTTOM = 4
 SIMILAR = 0.8
+#: Ids of lines, of 8 bytes each, that are few enough to be sent to every task.
+FEW_IDS = 1_000_000
+#: Lines of a band that all its others are held against before pairs across components.
+LEADERS = 4
 _OUTER = " \t\n\x0b\x0c\r"
 _BANDS = [(i, j) for j in range(1, BOTTOM) for i in range(j)]
 
@@ -37,10 +42,22 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(_OUTER)))
 
 
-def shingles(line: Column, k: int = K) -> Column:
-    """Sorted distinct hashes of the shingles of a normal line."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{{0,{k - 1}}}))"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
+def _cut(line: Column, k: int) -> Column:
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{k}}}))[^\x20\x09-\x0D]+"), F.lit(1))
+
+
+def signature(line: Column, k: int = K) -> Column:
+    """The BOTTOM smallest distinct 64-bit hashes of a normal line's shingles, sorted."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(_cut(line, k), lambda x: F.xxhash64(x)))), 1, BOTTOM)
+
+
+def shingle_set(line: Column, k: int = K) -> Column:
+    """A normal line's shingles as a set of 32-bit hashes.
+
+    Two of a pair's n shingles share a hash with a chance of about n * n / 2**33, which moves
+    the similarity by 1 / n: one pair in a million for lines of 80 words.
+    """
+    return F.array_distinct(F.transform(_cut(line, k), lambda x: F.hash(x)))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,53 +69,98 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _banded(lines: DataFrame) -> DataFrame:
     """(id, doc_id, text_hash, line_no, k0, k1, ...) of each line; a line of one shingle has k0 only."""
-    signed = lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), shingles(F.col("line")).alias("s"))
+    signed = lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), signature(F.col("line")).alias("s"))
     at = lambda i: F.get(F.col("s"), F.lit(i))
     keys = [F.when(at(j).isNotNull(), F.xxhash64(at(i), at(j))) for i, j in _BANDS]
     keys[0] = F.coalesce(keys[0], F.xxhash64(at(0), at(0)))
     return signed.select("id", "doc_id", "text_hash", "line_no", *[k.alias(f"k{n}") for n, k in enumerate(keys)])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Those pairs (a, b) of lines whose shingle sets are similar enough."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+def _similar(similar: float) -> Column:
+    """Whether the sets sa and sb are similar enough; sizes are compared first."""
+    n, m = F.size("sa"), F.size("sb")
     both = F.size(F.array_intersect("sa", "sb"))
-    return two.where(both >= similar * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return (F.least(n, m) >= similar * F.greatest(n, m)) & (both >= similar * (n + m - both))
+
+
+def _those(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids, which are distinct: sent to the rows if they are few, else joined."""
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _open_bands(met: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, id, root, s) of the bands that hold several components."""
+    band = Window.partitionBy("band")
+    placed = met.join(found, met["id"] == found["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    placed = placed.select("band", "id", "root", F.min("root").over(band).alias("low"), F.max("root").over(band).alias("high")).where("low < high")
+    return placed.select("band", "id", "root").join(sets, "id")
+
+
+def _linked(rows: DataFrame, others: DataFrame, similar: float, also: Column) -> DataFrame:
+    """Similar lines (a, b) of a band and different components; the join gives out these alone."""
+    left, right = (df.select("band", F.col("id").alias(n), F.col("root").alias(f"{n}_root"), F.col("s").alias(f"s{n}")) for df, n in ((rows, "a"), (others, "b")))
+    return left.join(right, (left["band"] == right["band"]) & (F.col("a_root") != F.col("b_root")) & also & _similar(similar)).select("a", "b").distinct()
+
+
+def _extended(more: DataFrame, found: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """(node, root) of components with more links between them, of which n are expected, and where these were written."""
+    more, at = written(more, "line-links", n)
+    if more.limit(1).count():
+        # A component's lines are one node by now: only links between roots are new.
+        root = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        lifted = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct()
+        lifted, _ = written(lifted, "line-links", more.count())
+        joined = connected_components(lifted, "line-components")[0].withColumnsRenamed({"node": "old", "root": "new"})
+        known = found.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
+        found = known.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).distinct()
+        found, _ = written(found, "line-classes", known.count())
+    return found, at
 
 
 def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, doc_id, text_hash, line_no) of every line, and (node, root) of the lines with a link."""
-    spark, n_keys = docs.sparkSession, len(_BANDS)
+    n_keys = len(_BANDS)
     lines, _ = written(_banded(_numbered(docs, id_col, text_col)), "lines")
     keys = [f"k{n}" for n in range(n_keys)]
     distinct = lines.groupBy("id").agg(*[F.min(k).alias(k) for k in keys])
-    bands = distinct.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("band")).repartition("band")
-    first = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
-    met, met_at = written(bands.join(first, "band"), "line-bands")  # of bands that hold two lines
-    stars = met.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    bands = distinct.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("band"))
+    band = Window.partitionBy("band")
+    met = bands.select("band", "id", F.min("id").over(band).alias("first"), F.max("id").over(band).alias("last")).where("first < last").select("band", "id", "first")
+    met, met_at = written(met, "line-bands")  # of bands that hold two lines or more
+    n_met = met.count()
     # The shingle sets of lines that met another, made again from the documents.
-    ids = met.select("id").distinct()
-    texts = _numbered(docs, id_col, text_col).select(F.xxhash64("line").alias("id"), "line").join(ids, "id", "left_semi")
-    sets, sets_at = written(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", shingles(F.col("line")).alias("s")), "line-sets")
-    links, links_at = written(_verified(stars, sets, similar), "line-links")
-    found = connected_components(links, "line-components")
-    # Bands that still hold several components: their pairs across components.
-    placed = met.select("band", "id").join(found, met["id"] == found["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    open_, open_at = written(placed.join(several, "band", "left_semi"), "line-open")
-    left, right = (open_.select("band", F.col("id").alias(n), F.col("root").alias(f"{n}_root")) for n in ("a", "b"))
-    across = left.join(right, "band").where("a < b and a_root != b_root").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more, more_at = written(_verified(across, sets, similar), "line-links")
-    found, _ = written(connected_components(links.unionByName(more), "line-components"), "line-classes")
-    for at in (met_at, sets_at, links_at, open_at, more_at):
-        drop_path(spark, at)
+    texts = _those(_numbered(docs, id_col, text_col).select(F.xxhash64("line").alias("id"), "line"), met.select("id").distinct())
+    sets, sets_at = written(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", shingle_set(F.col("line")).alias("s")), "line-sets", n_met)
+    # Each line with the first of its bands.
+    stars = met.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    one = stars.join(sets, F.col("a") == F.col("id")).select("a", "b", F.col("s").alias("sa"))
+    two = one.join(sets, F.col("b") == F.col("id")).select("a", "b", "sa", F.col("s").alias("sb"))
+    links, links_at = written(two.where(_similar(similar)).select("a", "b"), "line-links", n_met)
+    found, _ = connected_components(links, "line-components")
+    paths = [met_at, sets_at, links_at]
+    # Bands that still hold several components: each line with a few more of its band, then what is
+    # similar across the components that are left, found inside the join.
+    open_, open_at = written(_open_bands(met, found, sets), "line-open", n_met)
+    order = F.row_number().over(band.orderBy(F.xxhash64("id", "band")))
+    leaders = open_.withColumn("place", order).where(F.col("place") <= LEADERS).drop("place")
+    found, at = _extended(_linked(open_, leaders, similar, F.lit(True)), found, LEADERS * open_.count())
+    paths += [open_at, at]
+    open_, open_at = written(_open_bands(met, found, sets), "line-open", n_met)
+    found, at = _extended(_linked(open_, open_, similar, F.col("a") < F.col("b")), found, LEADERS * open_.count())
+    paths += [open_at, at]
+    for at in paths:
+        drop_path(docs.sparkSession, at)
     return lines.select("id", "doc_id", "text_hash", "line_no"), found
 
 
 def removals(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, gone): the places of the lines that go, for each document that loses any."""
     lines, found = line_components(docs, similar, id_col, text_col)
+    # Only lines that occur twice or have a link can go.
+    twice = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    concerned, _ = written(twice.unionByName(found.select(F.col("node").alias("id"))).distinct(), "line-concerned")
+    lines, _ = written(_those(lines, concerned), "line-concerned")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")
     per_id = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     rooted = per_id.join(found, per_id["id"] == found["node"], "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.elias_fano import EliasFano, stored
-from brightwell.llm.shared import pieces, shared_path, written
+from brightwell.llm.shared import pieces, shared_path, small_batches, written
 
 _U = np.uint64
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -408,6 +408,7 @@ def _scorer(model: Model):
 
 def score_documents(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all folds but one and score every row: held_out, token counts, base and model log10 probability."""
+    small_batches(docs.sparkSession)
     fold = F.crc32(F.encode(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "UTF-8")) % folds
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("words"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), (fold == held_fold).alias("held_out"))
     model = train(rows.where(~F.col("held_out")).select("words"), shared_path(docs.sparkSession, "lm"), shard_bits(docs))

@@ -49,9 +49,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str, most_rows: int | None = None, rows_a_file: int = 100_000) -> tuple[DataFrame, str]:
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Where the number of rows is known to be at most most_rows, so many files are written as that needs.
+    """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // rows_a_file)))
     path = shared_path(spark, label)
     held = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # the shuffle files of this write go when it is done
@@ -59,6 +64,7 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, held)
+        spark._jvm.System.gc()  # Spark deletes shuffle files when their plans are collected on the driver
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -67,6 +73,15 @@ def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers by bytes, however long the texts are."""
+    for key, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 2_000)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = int(spark.conf.get(key).rstrip("b"))
+        if held <= 0 or held > most:
+            spark.conf.set(key, str(most))
+
+
 def packed(df: DataFrame, *columns) -> DataFrame:
     """The whole row as struct `row`, beside `columns`: no name of df can clash with a result's."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *columns)
@@ -74,6 +89,7 @@ def packed(df: DataFrame, *columns) -> DataFrame:
 
 def map_rows(df: DataFrame, columns: list, function, found: T.StructType) -> DataFrame:
     """(row, found) for each row: function maps batches of (row, *columns) to batches of (row, found)."""
+    small_batches(df.sparkSession)
     kept = packed(df, *columns)
     schema = T.StructType([T.StructField("row", kept.schema["row"].dataType), T.StructField("found", found)])
     return kept.mapInArrow(function, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.components import connected_components
-from brightwell.llm.shared import pieces, written
+from brightwell.llm.shared import pieces, small_batches, written
 
 BITS = 64
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -146,6 +146,7 @@ def _links(radius: int):
 
 def fingerprint_rows(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, print, row_hash) of every row; row_hash tells rows of one id apart by their text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("words"), F.xxhash64(F.col(text_col).cast("string")).alias("row_hash"))
     return rows.mapInArrow(_fingerprints(width, seed), "doc_id long, print long, row_hash long")
 
@@ -160,7 +161,8 @@ def link_edges(prints: DataFrame, radius: int = 4) -> DataFrame:
 def _classes(rows: DataFrame, radius: int) -> DataFrame:
     """(print, root) of each distinct print."""
     prints = rows.select("print").distinct()
-    roots = connected_components(link_edges(prints, radius), "simhash")
+    edges, _ = written(link_edges(prints, radius).distinct(), "simhash-edges")
+    roots, _ = connected_components(edges, "simhash")
     return prints.join(roots, prints["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"))
 
 

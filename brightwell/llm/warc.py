@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.shared import shared_path
+from brightwell.llm.shared import shared_path, small_batches
 
 SKIPPABLE = 0x184D2A5D  # fixed value: the skippable frame kind that holds a dictionary
 FRAME = 0xFD2FB528  # fixed value: the magic number of a Zstandard frame
@@ -242,6 +242,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
     payloads that occur twice go to the join, so most of its rows have no partner; Spark splits
     a payload that holds a large share of the rows. Columns beside the three named are ignored.
     """
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("string").alias("html"))
     rows = rows.withColumn("body", F.unhex(F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)))
