@@ -388,9 +388,14 @@ def train(texts: DataFrame, folder: str, bits: int) -> Model:
     return model
 
 
-def shard_bits(docs: DataFrame) -> int:
-    """Shards of 16 MB of input, from the planner's size of the files: 32 at least, 16,384 at most."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def shard_bits(texts: DataFrame) -> int:
+    """Shards of 16 MB of input, from the planner's size of the files: 32 at least, 16,384 at most.
+
+    Where the planner does not know the size, the texts are measured.
+    """
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 50:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length(texts.columns[0])), F.lit(0))).first()[0]
     return min(14, max(5, math.ceil(math.log2(max(1, size / (16 << 20))))))
 
 
@@ -411,5 +416,5 @@ def score_documents(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col:
     small_batches(docs.sparkSession)
     fold = F.crc32(F.encode(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "UTF-8")) % folds
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("words"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), (fold == held_fold).alias("held_out"))
-    model = train(rows.where(~F.col("held_out")).select("words"), shared_path(docs.sparkSession, "lm"), shard_bits(docs))
+    model = train(rows.where(~F.col("held_out")).select("words"), shared_path(docs.sparkSession, "lm"), shard_bits(rows.select("words")))
     return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

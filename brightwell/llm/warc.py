@@ -142,7 +142,10 @@ def frame_end(view: memoryview, at: int) -> int:
     if len(view) - at < 6 or struct.unpack_from("<I", view, at)[0] != FRAME:
         raise WarcError(f"no frame at byte {at}")
     checksum = 4 if view[at + 4] & 4 else 0
-    end = at + zstandard.frame_header_size(view[at : at + 18])
+    try:
+        end = at + zstandard.frame_header_size(view[at : at + 18])
+    except zstandard.ZstdError as error:
+        raise WarcError(str(error)) from error
     last = 0
     while not last:
         if end + 3 > len(view):
@@ -164,15 +167,18 @@ def read_archive(data) -> Iterator[dict]:
     if magic != SKIPPABLE or 8 + size > len(view):
         raise WarcError("no leading skippable frame")
     held = bytes(view[8 : 8 + size])
-    if held[:4] == struct.pack("<I", FRAME):
-        held = zstandard.ZstdDecompressor().decompress(held)
-    inflate = zstandard.ZstdDecompressor(**({"dict_data": open_dictionary(held)} if held else {}))
+    try:
+        if held[:4] == struct.pack("<I", FRAME):
+            held = zstandard.ZstdDecompressor().decompress(held)
+        inflate = zstandard.ZstdDecompressor(**({"dict_data": open_dictionary(held)} if held else {}))
+    except zstandard.ZstdError as error:
+        raise WarcError(f"dictionary: {error}") from error
     at = 8 + size
     while at < len(view):
         end = frame_end(view, at)
-        claimed = zstandard.get_frame_parameters(view[at : at + 18]).content_size
-        step = inflate.decompressobj()
         try:
+            claimed = zstandard.get_frame_parameters(view[at : at + 18]).content_size
+            step = inflate.decompressobj()
             record = step.decompress(view[at:end])
         except zstandard.ZstdError as error:
             raise WarcError(str(error)) from error
