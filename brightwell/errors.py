@@ -146,7 +146,9 @@ def from_spark(error: Exception) -> Exception:
     text = str(error)
     if condition in ("DIVIDE_BY_ZERO", "REMAINDER_BY_ZERO") or "DIVIDE_BY_ZERO]" in text or "REMAINDER_BY_ZERO]" in text:
         return divide_by_zero()
-    if condition in ("ARITHMETIC_OVERFLOW", "CAST_OVERFLOW", "BINARY_ARITHMETIC_OVERFLOW", "USER_RAISED_EXCEPTION") or "_OVERFLOW]" in text:
+    if "] tinyint overflow" in text:
+        return overflow("tinyint")
+    if condition in ("ARITHMETIC_OVERFLOW", "CAST_OVERFLOW", "BINARY_ARITHMETIC_OVERFLOW") or "_OVERFLOW]" in text:
         return overflow()
     if condition == "CAST_INVALID_INPUT" or "CAST_INVALID_INPUT]" in text:
         return SqlError(245, 16, 1, "Conversion failed when converting a character string to a numeric data type.")
