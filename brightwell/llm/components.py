@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> tuple[D
     now, path = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"), None
     n = edges.count()
     while True:
-        following, at = written(_small_star(_large_star(_small_star(_large_star(now)))), label, n)
+        following, at = written(_small_star(_large_star(now)), label, n)
         if path:
             drop_path(spark, path)
         now, path, n = following, at, following.count()

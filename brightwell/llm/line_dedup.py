@@ -42,13 +42,18 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(_OUTER)))
 
 
-def _cut(line: Column, k: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{k}}}))[^\x20\x09-\x0D]+"), F.lit(1))
+def _cut(line: Column, least: int, most: int) -> Column:
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{least},{most}}}))[^\x20\x09-\x0D]+"), F.lit(1))
 
 
 def signature(line: Column, k: int = K) -> Column:
-    """The BOTTOM smallest distinct 64-bit hashes of a normal line's shingles, sorted."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(_cut(line, k), lambda x: F.xxhash64(x)))), 1, BOTTOM)
+    """The BOTTOM smallest distinct 64-bit hashes of a normal line's shingles of k characters, sorted.
+
+    The shorter ones at a line's end are common and come together, so only a line shorter than k
+    is taken as it is.
+    """
+    cut = F.when(F.length(line) < k, F.array(line)).otherwise(_cut(line, k, k))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))), 1, BOTTOM)
 
 
 def shingle_set(line: Column, k: int = K) -> Column:
@@ -57,7 +62,7 @@ def shingle_set(line: Column, k: int = K) -> Column:
     Two of a pair's n shingles share a hash with a chance of about n * n / 2**33, which moves
     the similarity by 1 / n: one pair in a million for lines of 80 words.
     """
-    return F.array_distinct(F.transform(_cut(line, k), lambda x: F.hash(x)))
+    return F.array_distinct(F.transform(_cut(line, 1, k), lambda x: F.hash(x)))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,8 +108,8 @@ def _linked(rows: DataFrame, others: DataFrame, similar: float, also: Column) ->
     return left.join(right, (left["band"] == right["band"]) & (F.col("a_root") != F.col("b_root")) & also & _similar(similar)).select("a", "b").distinct()
 
 
-def _extended(more: DataFrame, found: DataFrame, n: int) -> tuple[DataFrame, str]:
-    """(node, root) of components with more links between them, of which n are expected, and where these were written."""
+def _extended(more: DataFrame, found: DataFrame, n: int, n_lines: int) -> tuple[DataFrame, str]:
+    """(node, root) of components with more links between them, of which n are expected, over n_lines lines at most, and where these were written."""
     more, at = written(more, "line-links", n)
     if more.limit(1).count():
         # A component's lines are one node by now: only links between roots are new.
@@ -114,7 +119,7 @@ def _extended(more: DataFrame, found: DataFrame, n: int) -> tuple[DataFrame, str
         joined = connected_components(lifted, "line-components")[0].withColumnsRenamed({"node": "old", "root": "new"})
         known = found.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
         found = known.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).distinct()
-        found, _ = written(found, "line-classes", known.count())
+        found, _ = written(found, "line-classes", n_lines)
     return found, at
 
 
@@ -144,10 +149,10 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     open_, open_at = written(_open_bands(met, found, sets), "line-open", n_met)
     order = F.row_number().over(band.orderBy(F.xxhash64("id", "band")))
     leaders = open_.withColumn("place", order).where(F.col("place") <= LEADERS).drop("place")
-    found, at = _extended(_linked(open_, leaders, similar, F.lit(True)), found, LEADERS * open_.count())
+    found, at = _extended(_linked(open_, leaders, similar, F.lit(True)), found, LEADERS * open_.count(), n_met)
     paths += [open_at, at]
     open_, open_at = written(_open_bands(met, found, sets), "line-open", n_met)
-    found, at = _extended(_linked(open_, open_, similar, F.col("a") < F.col("b")), found, LEADERS * open_.count())
+    found, at = _extended(_linked(open_, open_, similar, F.col("a") < F.col("b")), found, LEADERS * open_.count(), n_met)
     paths += [open_at, at]
     for at in paths:
         drop_path(docs.sparkSession, at)
