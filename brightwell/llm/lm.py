@@ -173,6 +173,10 @@ class Model:
         at = np.searchsorted(self.hot, u)
         return (at < len(self.hot)) & (self.hot[np.minimum(at, max(0, len(self.hot) - 1))] == u) if len(self.hot) else np.zeros(len(u), bool)
 
+    def hot_keys(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Keys of pairs with frequent first words, by these words' ranks: dense, so that searches stay short."""
+        return np.searchsorted(self.hot, u).astype(_U) * _U(self.n_words) + w.astype(_U)
+
     def types(self, u: np.ndarray) -> np.ndarray:
         """T(u): from the pointers, or for frequent words from what the driver has summed."""
         out = np.zeros(len(u), np.int64)
@@ -191,14 +195,15 @@ class Model:
         logs, found = np.zeros(len(u)), np.zeros(len(u), bool)
         shard, hot = self.pair_shard(u, w), self.is_hot(u)
         key = u.astype(_U) * _U(self.n_words) + w.astype(_U)
+        hot_key = self.hot_keys(u, w)
         order = np.argsort(shard, kind="stable")
         at = np.searchsorted(shard[order], np.arange(len(self.bases) + 1))
         for s in np.unique(shard).tolist():
             own = order[at[s] : at[s + 1]]
             _, pairs, codes, hot_pairs, hot_codes = _pairs(self.folder, s)
-            for part, seq, code in ((own[~hot[own]], pairs, codes), (own[hot[own]], hot_pairs, hot_codes)):
+            for part, seq, code, keys in ((own[~hot[own]], pairs, codes, key), (own[hot[own]], hot_pairs, hot_codes, hot_key)):
                 if len(part):
-                    place, equal = seq.successor(key[part])
+                    place, equal = seq.successor(keys[part])
                     found[part[equal]] = True
                     logs[part[equal]] = code[place[equal]] * -STEP
         return logs, found
@@ -335,8 +340,8 @@ def _seal_pairs(model: Model):
                 codes = np.clip(np.rint(logs / -STEP), 0, 255).astype(np.uint8)
                 pointers = EliasFano.build(np.concatenate(([0], np.cumsum(own))).astype(_U))
                 parts = [*pointers.dump()]
-                for part in (~hot, hot):
-                    parts += [*EliasFano.build(keys[part]).dump(), codes[part]]
+                for part, own_keys in ((~hot, keys), (hot, model.hot_keys(u, w))):
+                    parts += [*EliasFano.build(own_keys[part]).dump(), codes[part]]
                 _put(model.folder, f"pairs-{shard}", stored(parts))
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
