@@ -30,6 +30,8 @@ MEASURES = {"mean_word": 0.25, "symbol_share": 0.02, "dup_line_share": 0.1}
 REACH = 4.0
 MIN_ROWS = 100
 WINDOW = 5
+#: Groups, of some 300 bytes each, whose fences are few enough to be sent to every task; more are joined.
+FEW_GROUPS = 20_000
 
 
 def measured(docs: DataFrame, text_col: str = "text", keep: Column | None = None) -> DataFrame:
@@ -125,7 +127,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     group = lambda c, n: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n)
     rows, _ = written(measured(docs, text_col, F.struct(row.alias("own"), group(lang_col, "lang"), group(source_col, "source"))).withColumn("base_failed", base_failed(min_words, most_repeated)), "quality-measures")
     rows = rows.select(F.col("row.own").alias("row"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), *[c for c in rows.columns if c != "row"], *_values())
-    limits = fences(rows.where(~F.col("base_failed")).select("lang", "source", *MEASURES), min_rows, reach)
+    limits, _ = written(fences(rows.where(~F.col("base_failed")).select("lang", "source", *MEASURES), min_rows, reach), "quality-fences")
+    if limits.count() <= FEW_GROUPS:
+        limits = F.broadcast(limits)
     within = F.lit(True)
     for m in MEASURES:
         limit = F.element_at("limits", F.lit(m))
