@@ -1,21 +1,24 @@
 """License scan by conditional compression.
 
-Candidate blocks are runs of lines that speak of licensing. A block is compressed on its own and
-with each template as a raw-content dictionary; templates are ranked by how much they shorten
-it. The best ones are then confirmed by the exact wording: the differences between the words of
-the template and those of the block where it matches may not exceed a share of the template.
+Candidate blocks are runs of lines that speak of licensing. Every template is held against each
+block by the exact wording: the differences between the words of the template and those of the
+block where it matches may not exceed a share of the template. Where several match the same words,
+these are compressed on their own and with each template as a raw-content dictionary, and the
+templates are ranked by how much they save, as a share of their own compressed size. So the text
+around a wording decides nothing, and no template goes unless the block lacks too many of its words.
 
 Defined cases: a null or empty text has no blocks; a block may hold several licenses if their
-words lie apart; templates that shorten a block equally rank by name; rows that repeat are each
+words lie apart; templates that save equally rank by name; rows that repeat are each
 scanned. Documents are read once and nothing is shuffled; other columns are kept in `row`.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -68,8 +71,6 @@ _HINT = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|public d
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 #: Lines without a hint that may lie within a block, and lines of a block at most before it is cut into overlapping windows.
 _GAP, _WINDOW = 2, 60
-#: Words of a block that are compared at once.
-_PART = 4000
 
 
 def words(text: str) -> list[str]:
@@ -99,60 +100,80 @@ def blocks(text: str) -> list[tuple[int, int, str]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]], level: int = 9, least_gain: float = 0.1, most_difference: float = 0.1):
-        self.level, self.least_gain, self.most_difference = level, least_gain, most_difference
+    def __init__(self, templates: dict[str, list[str]], level: int = 9, most_difference: float = 0.1):
+        self.level, self.most_difference = level, most_difference
         self.alone = self._compressor(None)
-        self.templates = [(name, words(t), self._compressor(" ".join(words(t)).encode())) for name, ts in sorted(templates.items()) for t in ts]
+        held = [(name, words(t)) for name, ts in sorted(templates.items()) for t in ts]
+        self.codes = {w: i for i, w in enumerate(sorted({w for _, t in held for w in t}))}
+        self.templates = [(name, self.coded(t), Counter(t), int(most_difference * len(t)), *self._held(" ".join(t).encode())) for name, t in held]
 
     def _compressor(self, held: bytes | None):
         more = {} if held is None else {"dict_data": zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)}
         return zstandard.ZstdCompressor(level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False, **more)
 
-    def ranked(self, block: list[str]) -> list[tuple[float, str, list[str]]]:
-        """Templates by the share of the block's compressed size that they save."""
-        data = " ".join(block).encode()
-        alone = len(self.alone.compress(data))
-        gains = [(1 - len(c.compress(data)) / alone, name, w) for name, w, c in self.templates]
-        return sorted((g for g in gains if g[0] >= self.least_gain), key=lambda g: (-g[0], g[1], g[2]))
+    def _held(self, data: bytes):
+        """The compressor with a template at hand, and the template's compressed size without."""
+        return self._compressor(data), len(self.alone.compress(data))
+
+    def coded(self, block: list[str]) -> np.ndarray:
+        """Numbers of the words; -1 for those in no template."""
+        return np.fromiter((self.codes.get(w, -1) for w in block), np.int32, len(block))
 
     def scan(self, text: str) -> list[dict]:
         found: list[dict] = []
         for first, after, raw in blocks(text):
             block = words(raw)
             held: list[tuple[int, int]] = []  # what matches cover in this block
-            for at in range(0, max(1, len(block) - _PART // 2), _PART // 2):  # a block of very many words in overlapping parts
-                for gain, name, differ, a, b in self._confirmed(block[at : at + _PART]):
-                    if all(b + at <= x or a + at >= y for x, y in held):
-                        held.append((a + at, b + at))
-                        found.append({"license": name, "first_line": first, "after_line": after, "gain": gain, "differences": differ})
+            for gain, name, differ, a, b in self._confirmed(block):
+                if all(b <= x or a >= y for x, y in held):
+                    held.append((a, b))
+                    found.append({"license": name, "first_line": first, "after_line": after, "gain": gain, "differences": differ})
         return found
 
     def _confirmed(self, block: list[str]) -> list[tuple[float, str, int, int, int]]:
         """(gain, license, differing words, begin, end): exact wordings first, of these the longer, then by gain."""
-        out = []
-        for gain, name, template in self.ranked(block) if block else []:
-            match = difference(template, block)
-            if match and match[0] <= self.most_difference * len(template):
-                out.append((match[0] > 0, -len(template), -gain, name, match))
-        return [(-gain, name, *match) for _, _, gain, name, match in sorted(out, key=lambda c: c[:4])]
-
-
-def difference(template: list[str], block: list[str]) -> tuple[int, int, int] | None:
-    """(differing words, where in the block it begins and ends) of the closest occurrence of the template."""
-    matcher = SequenceMatcher(None, block, template, autojunk=False)
-    same = [m for m in matcher.get_matching_blocks() if m.size]
-    if not same:
-        return None
-    best = None
-    for i in range(len(same)):
-        held = 0
-        for j in range(i, len(same)):
-            held += same[j].size
-            a, b = same[i].a, same[j].a + same[j].size
-            differ = (len(template) - held) + (b - a - held)
-            if best is None or differ < best[0]:
-                best = (differ, a, b)
-    return best
+        out, there, coded = [], Counter(block), self.coded(block)
+        for name, template, needed, limit, compressor, own in self.templates:
+            lacking = 0
+            for w, n in needed.items():  # each word that the block lacks is a difference wherever the template matches
+                lacking += max(0, n - there[w])
+                if lacking > limit:
+                    break
+            else:
+                for differ, a, b in occurrences(template, coded, limit):
+                    data = " ".join(block[a:b]).encode()
+                    gain = (len(self.alone.compress(data)) - len(compressor.compress(data))) / own
+                    out.append((differ > 0, -len(template), -gain, name, a, (differ, a, b)))
+        return [(-gain, name, *match) for _, _, gain, name, _, match in sorted(out)]
+
+
+def _distances(template: np.ndarray, block: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Least number of words to leave out of either, for the template and the words up to each place of block."""
+    places = np.arange(len(block) + 1)
+    now = first
+    for w in template:
+        new = now + 1
+        new[1:] = np.where(block == w, np.minimum(new[1:], now[:-1]), new[1:])
+        now = places + np.minimum.accumulate(new - places)
+    return now
+
+
+def occurrences(template: np.ndarray, block: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """(differing words, begin, end) of the places, apart from each other, where the template is within limit; the closest first."""
+    at_end = _distances(template, block, np.zeros(len(block) + 1, np.int64))
+    ends = np.flatnonzero(at_end <= limit)
+    out: list[tuple[int, int, int]] = []
+    taken = np.zeros(len(block), bool)
+    for end in ends[np.argsort(at_end[ends], kind="stable")].tolist():
+        if end and not taken[end - 1]:
+            differ = int(at_end[end])
+            low = max(0, end - len(template) - limit)
+            back = _distances(template[::-1], block[low:end][::-1], np.arange(end - low + 1))
+            begin = end - int(np.flatnonzero(back == differ)[0])
+            if begin < end and not taken[begin:end].any():
+                taken[begin:end] = True
+                out.append((differ, begin, end))
+    return out
 
 
 _MATCH = T.StructType().add("license", T.StringType()).add("first_line", T.IntegerType()).add("after_line", T.IntegerType()).add("gain", T.DoubleType()).add("differences", T.IntegerType())
