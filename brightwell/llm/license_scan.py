@@ -1,7 +1,9 @@
 """License scan by conditional compression.
 
-Candidate blocks are runs of lines that speak of licensing. Every template is held against each
-block by the exact wording: the differences between the words of the template and those of the
+Candidate blocks are runs of lines that speak of licensing. A block is searched together with as
+many words on either side as a match may have, since a wrapped wording has lines without a hint;
+blocks that meet so are searched as one. Every template is held against these words by the exact
+wording: the differences between the words of the template and those of the
 block where it matches may not exceed a share of the template. Where several match the same words,
 these are compressed on their own and with each template as a raw-content dictionary, and the
 templates are ranked by how much they save, as a share of their own compressed size. So the text
@@ -9,7 +11,7 @@ around a wording decides nothing, and no template goes unless the block lacks to
 
 Defined cases: a null or empty text has no blocks; a block may hold several licenses if their
 words lie apart; templates that save equally rank by name; rows that repeat are each
-scanned. Documents are read once and nothing is shuffled; other columns are kept in `row`.
+scanned; a match's lines are those that its words lie in. Documents are read once and nothing is shuffled; other columns are kept in `row`.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."],
     "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
 }
-_HINT = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|public domain|creative commons|free software|mozilla public", re.IGNORECASE)
+_HINT = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|public\W+domain|creative\W+commons|free\W+software|mozilla\W+public", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 #: Lines without a hint that may lie within a block, and lines of a block at most before it is cut into overlapping windows.
 _GAP, _WINDOW = 2, 60
@@ -77,17 +79,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, int, str]]:
-    """(first line, line after the last, text) of each run of lines with hints; long runs as overlapping windows."""
-    if not _HINT.search(text):
-        return []
-    lines, out, start, last = text.split("\n"), [], None, -1
-    for i, line in enumerate(lines):
-        if _HINT.search(line):
-            if start is not None and i - last > _GAP + 1:
-                out.append((start, last + 1))
-                start = None
-            start, last = i if start is None else start, i
+def blocks(text: str) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each run of lines with hints; long runs as overlapping windows."""
+    out, start, last, line, seen = [], None, -1, 0, 0
+    for hint in _HINT.finditer(text):  # one of two words may go over a line's end
+        line += text.count("\n", seen, hint.start())
+        seen = hint.start()
+        if start is not None and line - last > _GAP + 1:
+            out.append((start, last + 1))
+            start = None
+        start, last = line if start is None else start, line + text.count("\n", seen, hint.end())
     if start is not None:
         out.append((start, last + 1))
     cut = []
@@ -96,7 +97,25 @@ def blocks(text: str) -> list[tuple[int, int, str]]:
             cut.append((a, a + _WINDOW))
             a += _WINDOW // 2
         cut.append((a, b))
-    return [(a, b, "\n".join(lines[a:b])) for a, b in cut]
+    return cut
+
+
+def regions(text: str, more: int) -> list[tuple[list[str], np.ndarray]]:
+    """(words, their lines) of each block with so many words more on either side; what overlaps is one."""
+    found = blocks(text)
+    if not found:
+        return []
+    per_line = [words(line) for line in text.split("\n")]
+    begins = np.cumsum([0, *map(len, per_line)])
+    flat, places = [w for line in per_line for w in line], np.repeat(np.arange(len(per_line)), np.diff(begins))
+    out: list[list[int]] = []
+    for first, after in found:
+        a, b = max(0, int(begins[first]) - more), min(len(flat), int(begins[after]) + more)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(flat[a:b], places[a:b]) for a, b in out]
 
 
 class Scanner:
@@ -107,6 +126,8 @@ class Scanner:
         self.codes = {w: i for i, w in enumerate(sorted({w for _, t in held for w in t}))}
         self.templates = [(name, self.coded(t), Counter(t), int(most_difference * len(t)), *self._held(" ".join(t).encode())) for name, t in held]
 
+        self.longest = max((len(t) + limit for _, t, _, limit, _, _ in self.templates), default=0)  # words of a match at most
+
     def _compressor(self, held: bytes | None):
         more = {} if held is None else {"dict_data": zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)}
         return zstandard.ZstdCompressor(level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False, **more)
@@ -121,13 +142,12 @@ class Scanner:
 
     def scan(self, text: str) -> list[dict]:
         found: list[dict] = []
-        for first, after, raw in blocks(text):
-            block = words(raw)
-            held: list[tuple[int, int]] = []  # what matches cover in this block
+        for block, lines in regions(text, self.longest):
+            held: list[tuple[int, int]] = []  # what matches cover in these words
             for gain, name, differ, a, b in self._confirmed(block):
                 if all(b <= x or a >= y for x, y in held):
                     held.append((a, b))
-                    found.append({"license": name, "first_line": first, "after_line": after, "gain": gain, "differences": differ})
+                    found.append({"license": name, "first_line": int(lines[a]), "after_line": int(lines[b - 1]) + 1, "gain": gain, "differences": differ})
         return found
 
     def _confirmed(self, block: list[str]) -> list[tuple[float, str, int, int, int]]:

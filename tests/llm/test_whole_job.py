@@ -1,5 +1,7 @@
 """Cases of which an operator once did only a part."""
 
+import textwrap
+
 from brightwell.llm import license_scan
 
 
@@ -13,3 +15,51 @@ def test_license_within_long_lines():
         for t in templates:
             for n in (10, 500, 2000):
                 assert licenses(" ".join([*around[:n], t, *around[-n:]])) == [name], (name, t, n)
+
+
+def test_wrapped_licenses():
+    for name, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            for width in (20, 40, 60, 80):
+                for mark in ("", "# ", " * "):
+                    lines = [mark + line for line in textwrap.wrap(t, width, break_on_hyphens=False, break_long_words=False)]
+                    assert licenses("\n".join(lines)) == [name], (name, t, width)
+                    assert licenses("\n\n".join(["Some words", *lines, "and more"])) == [name], (name, t, width)
+
+
+def test_usual_license_files():
+    mit = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+    assert [licenses(t) for t in (mit, bsd, gpl)] == [["MIT"], ["BSD-2-Clause"], ["GPL-3.0-or-later"]]
+    assert sorted(licenses("\n".join([mit, bsd, gpl]))) == ["BSD-2-Clause", "GPL-3.0-or-later", "MIT"]
+    match = license_scan.Scanner(license_scan.TEMPLATES).scan(mit)[0]
+    assert (match["first_line"], match["after_line"], match["differences"]) == (4, 13, 0)
