@@ -1,7 +1,10 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 A line's shingles are the K characters from each of its word starts on (fewer at its end), over
-the line in lower case without outer white space. Its signature is the BOTTOM smallest of the
+the line in lower case without outer white space. A word of more than 2 K characters, of a
+script without spaces or alone in its line has more, at each character from K + 1 on: addresses,
+keys and such lines are seen as a whole. Of other words those after the first K are seen only with
+the next word. Its signature is the BOTTOM smallest of the
 shingles' 64-bit hashes, a bottom-k MinHash; its bands are the pairs of these values, so lines
 meet if they share two of them (a recall of 0.99 or more at a Jaccard similarity of 0.8). Lines
 that meet are verified by the exact Jaccard similarity of their shingle sets, and a distributed
@@ -35,6 +38,8 @@ FEW_IDS = 1_000_000
 #: Lines of a band that all its others are held against before pairs across components.
 LEADERS = 4
 _OUTER = " \t\n\x0b\x0c\r"
+#: Thai, Lao, Burmese, Khmer, Japanese and Chinese characters.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF"
 _BANDS = [(i, j) for j in range(1, BOTTOM) for i in range(j)]
 
 
@@ -42,8 +47,11 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(_OUTER)))
 
 
-def _cut(line: Column, least: int, most: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{least},{most}}}))[^\x20\x09-\x0D]+"), F.lit(1))
+def _cut(line: Column, least: int, k: int) -> Column:
+    """The k characters, least at the line's end, from each word start and from each character of a long word after its first k."""
+    word, spaced = r"[^\x20\x09-\x0D]", rf"[^\x20\x09-\x0D{_UNSPACED}]"
+    begin = rf"(?:(?<!{word})(?!{word}+$){spaced}{{1,{2 * k}}}(?!{word})|(?<!{word}){word}{{1,{k}}}|{word})"
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{least},{k}}})){begin}"), F.lit(1))
 
 
 def signature(line: Column, k: int = K) -> Column:

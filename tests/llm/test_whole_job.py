@@ -2,7 +2,7 @@
 
 import textwrap
 
-from brightwell.llm import license_scan
+from brightwell.llm import license_scan, line_dedup
 
 
 def licenses(text):
@@ -63,3 +63,13 @@ modification, are permitted provided that the following conditions are met:
     assert sorted(licenses("\n".join([mit, bsd, gpl]))) == ["BSD-2-Clause", "GPL-3.0-or-later", "MIT"]
     match = license_scan.Scanner(license_scan.TEMPLATES).scan(mit)[0]
     assert (match["first_line"], match["after_line"], match["differences"]) == (4, 13, 0)
+
+
+def test_lines_alike_only_in_their_words_first_characters(spark, docs):
+    urls = [f"https://www.example.org/{c * 3}/{i * 7919:08x}/{c}{i}" for i, c in enumerate("abcdefgh")]
+    unspaced = ["今天天气非常好我们" + rest for rest in ("一起去公园散步吧", "决定留在家里看书写字", "明天再讨论这个问题")]
+    long_url = "https://www.example.org/" + "".join(f"{i * i:x}" for i in range(60))
+    lines = [*urls, *unspaced, "see " + "k" * 9 + "eys/of/one/kind/here", "see " + "k" * 9 + "eys/of/another/sort/there", long_url]
+    rows = [(i, line) for i, line in enumerate(lines)] + [(100, long_url + "x")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == dict(rows) | {100: ""}
