@@ -2,7 +2,7 @@
 
 The model is an interpolated modified Kneser-Ney one, trained on a bounded sample of the
 documents that the labels trust: of every other one by its id's hash, train_docs documents in the
-order of the hashes, of train_bytes in all. Its n-grams are counted in parallel and dealt into shards by their context's
+order of the hashes, of train_bytes in all; of a text of more than train_bytes / 64 characters its beginning. Its n-grams are counted in parallel and dealt into shards by their context's
 hash. Scoring reads each document once: the distinct n-grams of a batch are joined with each
 shard's sorted counts in turn, and the summed log probabilities give each document's perplexity
 a character. A document is kept up to its language's threshold: a quantile of the perplexities
@@ -197,7 +197,8 @@ def judge(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_byte
     rows = _rows(docs, id_col, text_col, lang_col)
     trusted = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False)) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("good")).where("good").select("doc_id")
     first = trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # at most train_docs ids
-    sample = rows.join(F.broadcast(first), "doc_id").select("doc_id", "words", F.octet_length("words").alias("bytes"))
+    part = F.substring("words", 1, max(1, train_bytes // 64))  # a sixteenth of train_bytes at most, so no long text ends the sample early
+    sample = rows.join(F.broadcast(first), "doc_id").select("doc_id", part.alias("words")).withColumn("bytes", F.octet_length("words"))
     upto = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("words")).rowsBetween(Window.unboundedPreceding, 0))
     sample, _ = written(sample.withColumn("upto", upto).where(F.col("upto") <= train_bytes).select("doc_id", "words"), "classifier-sample")  # bounded by both limits
     chars = sample.select(F.explode(F.split("words", "")).alias("c")).groupBy("c").count().where("c != ''").orderBy(F.desc("count"), "c").limit(2 * SYMBOLS).collect()

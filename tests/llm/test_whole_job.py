@@ -2,7 +2,7 @@
 
 import textwrap
 
-from brightwell.llm import license_scan, line_dedup
+from brightwell.llm import classifier, license_scan, line_dedup
 
 
 def licenses(text):
@@ -73,3 +73,10 @@ def test_lines_alike_only_in_their_words_first_characters(spark, docs):
     rows = [(i, line) for i, line in enumerate(lines)] + [(100, long_url + "x")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
     assert got == dict(rows) | {100: ""}
+
+
+def test_long_texts_do_not_end_the_training_sample(spark, docs):
+    rows = [(i, "a long trusted text of usual words " * 400) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = classifier.judge(docs(rows), labels, train_bytes=8192).collect()
+    assert len(got) == 40 and all(r.perplexity < 64 for r in got)
