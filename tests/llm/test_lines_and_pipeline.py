@@ -13,7 +13,7 @@ from tests.llm.test_small_operators import brute_hits, brute_print, clashing, co
 
 def brute_dedup(rows):
     """Texts by (doc_id, text) as all-pairs similarity and union-find leave them."""
-    cut = lambda line: frozenset(re.findall(r"(?s)(?=(.{1,9}))[^\x20\x09-\x0D]+", line))
+    cut = lambda line: frozenset(line[i : i + 9] for i in range(max(1, len(line) - 8)))
     place = {}
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
@@ -59,6 +59,71 @@ def test_lines(spark, docs, sample):
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
+def mutated(rng, line, edits):
+    for _ in range(edits):
+        at = rng.randrange(len(line) or 1)
+        line = line[:at] + rng.choice(["", "#", "xy"]) + line[at + 1 :]
+    return line
+
+
+def many_kinds(rng):
+    """Lines of several kinds and near copies of them, many of which lie about the similarity that counts."""
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(300)]
+    kinds = [
+        lambda: " ".join(rng.choices(words, k=rng.randint(5, 60))),
+        lambda: "https://www.example.org/" + "/".join(rng.choices(words, k=rng.randint(2, 6))),
+        lambda: "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(rng.randint(9, 60))),
+        lambda: "_".join(rng.choices(words, k=rng.randint(2, 5))) + f"({rng.randrange(999)});",
+        lambda: "".join(rng.choices("é😀ñ日abc ", k=rng.randint(1, 40))) + "x",
+    ]
+    lines = [rng.choice(kinds)() for _ in range(400)]
+    passage = " ".join(rng.choices(words, k=60))
+    lines += [" ".join([*rng.choices(words, k=rng.randint(5, 25)), passage, *rng.choices(words, k=5)]) for _ in range(120)]
+    lines += [mutated(rng, rng.choice(lines), rng.randint(1, 4)) for _ in range(700)]
+    return lines
+
+
+def test_recall_and_precision_on_character_shingles(spark, docs):
+    cut = lambda line: frozenset(line[i : i + 9] for i in range(max(1, len(line) - 8)))
+    rows = [(i, line) for i, line in enumerate(many_kinds(random.Random(8)))]
+    for many in (line_dedup.MANY, 4):  # with and without prefix filtering
+        _, found, _ = line_dedup.line_components(docs(rows), many=many)
+        root = {r.node: r.root for r in found.collect()}
+        ids = {r.line: r.id for r in line_dedup._numbered(docs(rows), "doc_id", "text").select("line", "id").collect()}
+        lines = sorted(ids)
+        sets = [cut(x) for x in lines]
+        links = [(a, b) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        joined = sum(ids[a] in root and ids[b] in root and root[ids[a]] == root[ids[b]] for a, b in links)
+        assert len(links) > 200 and joined >= 0.99 * len(links)
+        whole = components(lines, links)
+        by_id = {v: k for k, v in ids.items()}
+        for node, r in root.items():  # nothing is joined that is not linked
+            assert whole[by_id[node]] == whole[by_id[r]]
+
+
+def test_marks_bound_similarity_from_above(spark):
+    from pyspark.sql import functions as F
+
+    lines = sorted(set(many_kinds(random.Random(9))))[:150]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string")
+    marked = line_dedup.marks(frame).join(frame, "id")
+    pairs = marked.toDF("a", "marks_a", "line_a").join(marked.toDF("b", "marks_b", "line_b"), F.col("a") < F.col("b"))
+    got = pairs.select("line_a", "line_b", line_dedup._may_be_similar("marks_a", "marks_b", 0.5).alias("may"), line_dedup.similar_lines(F.col("line_a"), F.col("line_b"), 0.5).alias("is")).collect()
+    cut = lambda line: frozenset(line[i : i + 9] for i in range(max(1, len(line) - 8)))
+    for r in got:
+        a, b = cut(r.line_a), cut(r.line_b)
+        assert r["is"] == (10 * len(a & b) >= 5 * len(a | b)) and (r.may or not r["is"])
+    assert sum(not r.may for r in got) > 0.8 * len(got)
+
+
+def test_very_long_lines(spark, docs):
+    rng = random.Random(10)
+    long = "".join(rng.choices("abcdefghij klmnop", k=60_000)).strip()
+    rows = [(1, long), (2, long[:30_000] + "#" + long[30_000:]), (3, "".join(rng.choices("abcdefghij klmnop", k=60_000))), (4, long[:40_000])]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 4: rows[3][1]}
+
+
 def test_lines_run_no_python(spark, docs):
     frame = line_dedup.dedup_lines(docs([(1, "a b c\nd e f"), (2, "a b c")]))
     plan = frame._jdf.queryExecution().executedPlan().toString()
