@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_EVERY = 64  # one select sample for so many bits of a kind
+_NEAR = 8  # elements of a range that are searched without the high bits' help
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -21,14 +21,32 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_L8, _H8 = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Position of the k-th one of each byte, at 256 * k + byte.
+_IN_BYTE = np.array([[[i for i in range(8) if b >> i & 1][k] if k < b.bit_count() else 0 for b in range(256)] for k in range(8)], np.int64).ravel()
+
+
+def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Position of the k-th one in each 64-bit word: sums of its bytes side by side, then a table."""
+    s = word - ((word >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _L8  # byte i: ones of bytes 0 to i
+    k = k.astype(_U)
+    full = ((k * _L8 | _H8) - s) & _H8  # bytes that end before the k-th one
+    place = ((full >> _U(7)) * _L8 >> _U(56)) << _U(3)
+    left = k - ((s << _U(8)) >> place & _U(0xFF))
+    return (place + _IN_BYTE[(left << _U(8) | (word >> place) & _U(0xFF)).astype(np.int64)].astype(_U)).astype(np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence of unsigned 64-bit integers in about 2 + log2(universe / n) bits each."""
 
-    #: name and kind of the arrays, in the order in which they are stored
-    PARTS = (("low", _U), ("high", _U), ("ones", np.uint32), ("zeros", np.uint32))
+    #: name and kind of the arrays, in the order in which they are stored; ones: how many come before each word of high
+    PARTS = (("low", _U), ("high", _U), ("ones", np.int64))
 
-    def __init__(self, n: int, width: int, low, high, ones, zeros):
-        self.n, self.width, self.low, self.high, self.ones, self.zeros = n, width, low, high, ones, zeros
+    def __init__(self, n: int, width: int, low, high, ones):
+        self.n, self.width, self.low, self.high, self.ones = n, width, low, high, ones
+        self.zeros = (np.arange(len(ones)) << 6) - ones
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -40,32 +58,26 @@ class EliasFano:
         bits = np.zeros((n + buckets + 63) // 64 * 64 + 64, np.uint8)
         bits[at] = 1
         high = np.packbits(bits, bitorder="little").view(_U)
-        bits[n + buckets :] = 1  # beyond the end there are no zeros
-        zeros = np.flatnonzero(bits == 0)[::_EVERY]
-        return cls(n, width, _packed(values, width), high, at[::_EVERY].astype(np.uint32), zeros.astype(np.uint32))
-
-    def _find(self, rank: np.ndarray, samples: np.ndarray, flip: np.uint64) -> np.ndarray:
-        """Bit positions of the rank-th ones (flip 0) or zeros (flip all)."""
-        start = np.asarray(samples[rank // _EVERY], np.int64)
-        left = rank % _EVERY
-        word = start >> 6
-        held = (self.high[word] ^ flip) & ~((_U(1) << (start & 63).astype(_U)) - _U(1))
-        count = np.bitwise_count(held).astype(np.int64)
-        todo = np.flatnonzero(left >= count)
+        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64) - np.bitwise_count(high)
+        return cls(n, width, _packed(values, width), high, ones)
+
+    def _find(self, rank: np.ndarray, before: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Bit positions of the rank-th ones (flip 0) or zeros (flip all); before: how many come before each word."""
+        word = np.searchsorted(before, rank, side="right") - 1
+        held, left = self.high[word] ^ flip, rank - before[word]
+        return (word << 6) + _select(held, left)
+
+    def following(self, at: np.ndarray) -> np.ndarray:
+        """Bit positions of the next ones after those at bit positions at."""
+        word = at >> 6
+        held = self.high[word] & (~_U(1) << (at & 63).astype(_U))
+        todo = np.flatnonzero(held == 0)
         while len(todo):
-            left[todo] -= count[todo]
             word[todo] += 1
-            held[todo] = self.high[word[todo]] ^ flip
-            count[todo] = np.bitwise_count(held[todo])
-            todo = todo[left[todo] >= count[todo]]
-        at = word << 6
-        for step in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(held & _U((1 << step) - 1)).astype(np.int64)
-            go = left >= below
-            left -= np.where(go, below, 0)
-            held = np.where(go, held >> _U(step), held)
-            at += np.where(go, step, 0)
-        return at
+            held[todo] = self.high[word[todo]]
+            todo = todo[held[todo] == 0]
+        low = held & (~held + _U(1))
+        return (word << 6) + np.bitwise_count(low - _U(1))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -81,6 +93,12 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._find(i, self.ones, _U(0)) - i).astype(_U) << _U(self.width)) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions i and i + 1."""
+        i = np.asarray(i, np.int64)
+        at = self._find(i, self.ones, _U(0))
+        return tuple(((p - k).astype(_U) << _U(self.width)) | self._low(k) for p, k in ((at, i), (self.following(at), i + 1)))
+
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each value: the first position whose element is not below it, and whether they are equal.
 
@@ -113,6 +131,33 @@ class EliasFano:
         equal[inside] = self._low(lo[inside]) == low[inside]
         return lo, equal
 
+    def search(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successor of each value among the positions [lo, hi) only, and whether they are equal."""
+        values, lo, hi = np.asarray(values, _U), lo.astype(np.int64), hi.astype(np.int64)
+        end = hi.copy()
+        far = np.flatnonzero(hi - lo > _NEAR)
+        if len(far):  # long ranges: first to the elements with the same high bits
+            top = int(self.access(np.array([self.n - 1]))[0]) >> self.width
+            bucket = np.minimum(values[far] >> _U(self.width), _U(top)).astype(np.int64)
+            after = np.full(len(far), self.n, np.int64)
+            inner = bucket < top
+            after[inner] = self._find(bucket[inner], self.zeros, ~_U(0)) - bucket[inner]
+            before = np.zeros(len(far), np.int64)
+            later = bucket > 0
+            before[later] = self._find(bucket[later] - 1, self.zeros, ~_U(0)) - (bucket[later] - 1)
+            lo[far], hi[far] = np.clip(before, lo[far], hi[far]), np.clip(after, lo[far], hi[far])
+        equal = np.zeros(len(values), bool)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            mid = (lo[todo] + hi[todo]) >> 1
+            here = self.access(mid)
+            less, same = here < values[todo], here == values[todo]
+            lo[todo] = np.where(same, mid, np.where(less, mid + 1, lo[todo]))
+            hi[todo] = np.where(less, hi[todo], mid)
+            equal[todo[same]] = True
+            todo = todo[lo[todo] < hi[todo]]
+        return np.minimum(lo, end), equal
+
     def dump(self) -> list[np.ndarray]:
         """Arrays that restore reads: a head of 64-bit integers, then the parts."""
         parts = [np.ascontiguousarray(getattr(self, k)) for k, _ in self.PARTS]
@@ -121,9 +166,9 @@ class EliasFano:
     @classmethod
     def restore(cls, data: np.ndarray, at: int) -> tuple[EliasFano, int]:
         """From byte at of a mapped or held array of bytes; also where it ends."""
-        head = data[at : at + 8 * 6].view(_U)
+        head = data[at : at + 8 * 5].view(_U)
         n, width, *sizes = (int(x) for x in head)
-        at += 48
+        at += 40
         parts = []
         for (_, kind), size in zip(cls.PARTS, sizes, strict=True):
             end = at + size * np.dtype(kind).itemsize

@@ -276,19 +276,25 @@ def test_elias_fano(values, queries, shift):
 def brute_lm(rows):
     tokens = [(d, t, [w for w in space_words(lower(t))] + [None]) for d, t in rows]
     held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _, _ in tokens]
-    c, pairs, types = Counter(), Counter(), Counter()
+    c, pairs, triples = Counter(), Counter(), Counter()
     for (_, _, seq), h in zip(tokens, held):
         if not h:
             c.update(seq)
-            for u, w in zip([None, *seq], seq):
-                types[u] += (u, w) not in pairs
-                pairs[u, w] += 1
+            pairs.update(zip([None, *seq], seq))
+            triples.update(zip([None, *seq], seq, seq[1:]))
+    types, contexts, after = Counter(u for u, _ in pairs), Counter(), Counter((t, u) for t, u, _ in triples)
+    for (t, u, _), k in triples.items():
+        contexts[t, u] += k
     n, v = sum(c.values()), len(c)
     one = lambda w: (c[w] + 1) / (n + v + 1)
-    two = lambda u, w: (pairs[u, w] + types[u] * one(w)) / (c[u] + types[u]) if c[u] else one(w)
-    out = [(d, h, len(seq), sum(c[w] > 0 for w in seq), n, sum(math.log10(one(w)) for w in seq), sum(math.log10(two(u, w)) for u, w in zip([None, *seq], seq))) for (d, t, seq), h in zip(tokens, held)]
-    for u in list(c)[:5]:  # the model is a distribution
-        assert abs(sum(two(u, w) for w in c) + types[u] / (c[u] + types[u]) / (n + v + 1) - 1) < 1e-9
+    two = lambda u, w: (pairs[u, w] + types[u] * one(w)) / (c[u] + types[u]) if types[u] else one(w)
+    three = lambda t, u, w: (triples[t, u, w] + after[t, u] * two(u, w)) / (contexts[t, u] + after[t, u]) if after[t, u] else two(u, w)
+    score = lambda seq: math.log10(two(None, seq[0])) + sum(math.log10(three(t, u, w)) for t, u, w in zip([None, *seq], seq, seq[1:]))
+    out = [(d, h, len(seq), sum(c[w] > 0 for w in seq), n, sum(math.log10(one(w)) for w in seq), score(seq), sum(math.log10(two(u, w)) for u, w in zip([None, *seq], seq))) for (d, t, seq), h in zip(tokens, held)]
+    for t, u in list(after)[:5]:  # the model is a distribution; its unknown word has the rest
+        rest = types[u] / (c[u] + types[u]) / (n + v + 1)
+        assert abs(sum(two(u, w) for w in c) + rest - 1) < 1e-9
+        assert abs(sum(three(t, u, w) for w in c) + after[t, u] / (contexts[t, u] + after[t, u]) * rest - 1) < 1e-9
     return out
 
 
@@ -297,9 +303,10 @@ def test_lm(spark, docs, sample):
     want = sorted(brute_lm(sample), key=lambda r: (str(r[0]), r[2]))
     assert [tuple(r[:5]) for r in got] == [w[:5] for w in want]
     for r, w in zip(got, want):
-        assert r.base_score == pytest.approx(w[5], abs=1e-6) and r.score == pytest.approx(w[6], abs=lm.STEP / 2 * w[2] + 1e-6)
+        assert r.base_score == pytest.approx(w[5], abs=1e-6) and r.score == pytest.approx(w[6], abs=lm.STEP * w[2] + 1e-6)
     held = [r for r in got if r.held_out and r.n_tokens > 20]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score for r in held) > sum(w[7] for w in want if w[1] and w[2] > 20)  # better than order two
     assert lm.score_documents(docs([])).count() == 0
     only = [d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2][0]
     row = lm.score_documents(docs([(only, "a b")])).first()
@@ -309,10 +316,25 @@ def test_lm(spark, docs, sample):
 def test_counts_are_packed_whole():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
     counts = np.arange(1, len(keys) + 1, dtype=np.uint64)
-    k, c = lm.unpack(lm.pack(keys, counts))
+    k, c = lm.unpack(lm.pack(keys, counts), 2)
     assert (k == keys).all() and (c == counts).all()
     k, c = lm.tally([keys, keys[:10]], [counts, counts[:10]])
     assert (k == keys).all() and (c[:10] == 2 * counts[:10]).all() and (c[10:] == counts[10:]).all()
+    for n, columns in ((1000, 3), (0, 2)):
+        back = lm.unpack(lm.pack(*[counts[:n]] * columns), columns)
+        assert len(back) == columns and all((x == counts[:n]).all() for x in back)
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 40)), unique=True, max_size=120), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 45)), min_size=1, max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_level_is_searched_within_its_context(pairs, queries):
+    context, word = (np.array([p[i] for p in sorted(pairs)], np.int64) for i in (0, 1))
+    level, _ = lm.Level.restore(np.frombuffer(stored([*lm.Level.build(context, word, 7, 50), np.zeros(len(word), np.uint8)]), np.uint8), 0)
+    asked = sorted(set(queries))
+    held, back = np.unique([q[0] for q in asked], return_inverse=True)
+    at, equal = level.find(held, back, np.array([q[1] for q in asked]), 50)
+    for q, i, e in zip(asked, at.tolist(), equal.tolist()):
+        assert e == (q in pairs) and (not e or sorted(pairs)[i] == q)
 
 
 # WARC
