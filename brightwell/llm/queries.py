@@ -26,7 +26,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brightwell.llm.classifier import judge
 
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "kept")
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "threshold", "worst", "worst_threshold", "kept")
 
 
 def op4_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:

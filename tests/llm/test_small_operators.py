@@ -1,6 +1,5 @@
 """Operators against brute force on small tables, with nulls, empties, ties, repeats and clashing columns."""
 
-import hashlib
 import math
 import random
 import re
@@ -417,21 +416,69 @@ def test_licenses(spark, docs, sample):
 # Classifier
 
 
-def test_kneser_ney_is_a_distribution():
-    table = classifier.alphabet(Counter("the cat sat on the mat. " * 3))
-    texts = ["the cat sat on the mat. the cat sat", "a mat sat on a cat", "the the the"]
-    keys, counts = np.unique(classifier.symbols(texts, table)[0], return_counts=True)
-    model = classifier.KneserNey(keys, counts)
-
-    class Held:
-        def __init__(self, value):
-            self.value = value
+def brute_kneser_ney(texts, order):
+    """log p of a byte after its context, by dictionaries, from the definition."""
+    padded = [b"\0" * (order - 1) + t for t in texts]
+    tables = {order: Counter(t[i : i + order] for t in padded for i in range(len(t) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    discounts = {}
+    for n, table in tables.items():
+        k = Counter(table.values())
+        y = k[1] / (k[1] + 2 * k[2])
+        d = [1 - 2 * y * k[2] / k[1], 2 - 3 * y * k[3] / k[2], 3 - 4 * y * k[4] / k[3]]
+        discounts[n] = [0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))]
+    after = {n: defaultdict(dict) for n in tables}
+    for n, table in tables.items():
+        for g, c in table.items():
+            after[n][g[:-1]][g[-1:]] = c
+
+    def p(n, context, symbol):
+        if not n:
+            return 1 / 256
+        context = context[len(context) - n + 1 :]
+        seen = after[n].get(context)
+        if not seen:
+            return p(n - 1, context, symbol)
+        d, c = discounts[n], seen.get(symbol, 0)
+        left = sum(d[min(x, 3)] for x in seen.values())
+        return (c - d[min(c, 3)] + left * p(n - 1, context, symbol)) / sum(seen.values())
+
+    return p
+
+
+def test_kneser_ney_against_its_definition(spark):
+    import pyarrow as pa
 
-    shards = [Held(s) for s in model.shards(3)]
-    for key in keys[::5].tolist() + [0, 12345]:
-        context = np.uint64(key) >> np.uint64(classifier.BITS) << np.uint64(classifier.BITS)
-        all_ = np.array([int(context) | s for s in range(classifier.SYMBOLS)], np.uint64)
-        assert np.exp(classifier.log_probabilities(all_, model.grams[0][1], shards)).sum() == pytest.approx(1, abs=1e-4)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "cat", "sat", "on", "mat", "日本", "thé", "a"], k=rng.randint(1, 30))) for _ in range(60)] + ["", "x"]
+    model, _ = classifier.train(spark.createDataFrame([(t,) for t in texts], "words string"))
+    p = brute_kneser_ney([t.encode() for t in texts if t], classifier.ORDER)
+    probes = texts[:20] + ["the dog", "\U0001f600 cat", "zzzzzzz", "mat on the cat s"]
+    keys, starts = classifier.symbols(pa.array(probes))
+    logs = model.logs(keys)
+    assert starts.tolist() == np.cumsum([0, *(len(t.encode()) for t in probes)]).tolist()
+    for t, at in zip(probes, starts.tolist()):
+        data = b"\0" * (classifier.ORDER - 1) + t.encode()
+        for i in range(len(data) - classifier.ORDER + 1):
+            gram = data[i : i + classifier.ORDER]
+            assert math.exp(logs[at + i]) == pytest.approx(p(classifier.ORDER, gram[:-1], gram[-1:]), rel=1e-9)
+    for key in keys[::40].tolist():  # a distribution over all symbols
+        all_ = (key >> classifier.BITS << classifier.BITS) + np.arange(classifier.SYMBOLS, dtype=np.uint64)
+        assert np.exp(model.logs(all_)).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_worst_passages():
+    rng = np.random.default_rng(4)
+    sizes = [0, 5, classifier.WINDOW, classifier.WINDOW + 1, 300, 0, 47]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    cost = rng.random(starts[-1])
+    some = np.flatnonzero(sizes)
+    got = classifier._worst(cost, starts, some)
+    for i, g in zip(some, got):
+        own = cost[starts[i] : starts[i + 1]]
+        want = [own[j : j + classifier.WINDOW].mean() for j in range(len(own) - classifier.WINDOW + 1)]
+        assert g == (pytest.approx(max(want)) if want else -np.inf)
 
 
 def test_classifier(spark, docs, sample):
@@ -448,6 +495,8 @@ def test_classifier(spark, docs, sample):
     assert sum(i in kept for i in range(400)) >= 380 and not any(1000 + i in kept for i in range(40)) and 2001 not in kept and 2002 not in kept and None in kept
     passed = classifier.keep_good(frame, labels, quantile=0.99)
     assert passed.columns == frame.columns and Counter(r.doc_id for r in passed.collect()) == kept
+    marred = {i: r.kept for r in classifier.judge(docs(rows + [(3000 + i, good()[:400] + " XQWJ#KZVPFGHBY DMCXQ" * 3 + good()[:400], "en", "s", 1) for i in range(20)]), labels).collect() for i in [r.doc_id]}
+    assert not any(marred[3000 + i] for i in range(20))  # a bad passage in a good text
     nothing = classifier.judge(docs(rows), labels.limit(0)).collect()
     assert all(r.kept == bool(r.n_symbols) for r in nothing)
     assert classifier.judge(docs([]), labels).count() == 0
@@ -488,7 +537,3 @@ def test_sketch_error():
     bucket = np.ceil(np.log(values) / math.log(quality_rules.GAMMA))
     back = quality_rules.GAMMA**bucket * 2 / (1 + quality_rules.GAMMA)
     assert (np.abs(back / values - 1) <= quality_rules.ALPHA * 1.0001).all()
-
-
-def test_digest_of_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
