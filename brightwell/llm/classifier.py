@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwell.llm.elias_fano import stored
-from brightwell.llm.lm import _map, _put, tally
-from brightwell.llm.shared import drop_path, pieces, shared_path, small_batches, written
+from brightwell.llm.lm import _map, tally
+from brightwell.llm.shared import drop_path, pieces, put_file, shared_path, small_batches, written
 
 _U = np.uint64
 ORDER, BITS = 5, 8
@@ -128,7 +128,7 @@ def _write_shards(folder: str):
                     at = np.flatnonzero((n == order) & ~np.isnan(value))
                     at = at[np.argsort(gram[at].view(_U))]
                     parts += [np.array([len(at)], _U), gram[at].view(_U), np.log(value[at])]
-            _put(folder, f"kn-{s}", stored(parts))
+            put_file(folder, f"kn-{s}", stored(parts))
             yield pa.RecordBatch.from_arrays([pa.array([s])], names=["shard"])
 
     return run

@@ -3,17 +3,23 @@
 The automaton is built once from the benchmark's normalised words and streamed over each
 document: at every word it holds the longest suffix of the words so far that occurs in some
 item. A match of at least `window` words, or one that is a whole shorter item, marks its words
-as hit. Documents are read once and nothing is shuffled. The benchmark is split into as many
-automata as its size needs, each of a bounded number of bytes, and they run one after another.
-
-Defined cases: a null text or item has no words; an item without words is ignored, and so is an
-item whose id is null; items that repeat an id count once; rows that repeat are each judged. An
-empty benchmark finds nothing. Columns of the documents are kept whatever their names.
+as hit. Documents are read once and nothing is shuffled. The items' words are dealt, in pieces
+that overlap by a window less a word, to as many automata as their size needs, each of a bounded
+number of bytes and built by an executor into a file of the shared folder; a task holds a few of
+them at a time and lets each batch of texts pass one after another.
+
+Defined cases: a null text or item has no words; an item without words is ignored; the windows of
+an item whose id is null hit words like any other, but there is no id to report; items that repeat
+an id count once; rows that repeat are each judged; a very long text or item is taken whole. An
+empty benchmark finds nothing, and an empty table gives an empty table. Columns of the documents
+are kept whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -23,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightwell.llm.shared import map_rows, pieces
+from brightwell.llm.shared import file_system, map_rows, pieces, put_file, shared_path, small_batches
 
 #: UTF-8 bytes of words: digits, letters and everything outside ASCII; A-Z lower-cased.
 _WORD_BYTES = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20) for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Bytes of item texts in one automaton at most.
-AUTOMATON_BYTES = 8 << 20
+#: Bytes of item words in one automaton, about, and in one piece of an item at most; automata held by a task.
+AUTOMATON_BYTES, PIECE_BYTES, HELD = 1 << 20, 1 << 18, 4
 _FILTER_BITS = 22
 
 
@@ -41,7 +47,7 @@ def words(text: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of (item_id, words) with the items of every window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window, self.vocab = window, {}
         for _, seq in items:
             for w in seq:
@@ -206,15 +212,74 @@ FOUND = T.StructType().add("n_words", T.LongType()).add("n_hit", T.LongType()).a
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def automata(benchmark: DataFrame, window: int, id_col: str, text_col: str, most_bytes: int = AUTOMATON_BYTES) -> Iterator[Automaton]:
-    """Automata over shards of the benchmark, each of a size that was measured before it is fetched."""
-    items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("words")).where("words is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("words") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // most_bytes)) if total > most_bytes else 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        rows = sorted((r["item"], r["words"]) for r in part.collect())
-        yield Automaton([(i, words(t.encode("utf-8", "surrogatepass"))) for i, t in rows], window)
+def _item_pieces(window: int, most_bytes: int):
+    """(item, words) of pieces of each item that hold all its windows, words joined by spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, held = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                seq, start = words(text or b""), 0
+                while seq:
+                    end, size = start, 0
+                    while end < len(seq) and (size < most_bytes or end < start + window):
+                        size += len(seq[end]) + 1
+                        end += 1
+                    names.append(item)
+                    held.append(b" ".join(seq[start:end]))
+                    if end == len(seq):
+                        break
+                    start = end - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], names=["item", "words"])
+
+    return run
+
+
+def _build(folder: str, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, set[tuple[str | None, bytes]]] = {}
+        for batch in batches:
+            for part, item, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts.setdefault(part, set()).add((item, held))
+        for part, rows in parts.items():
+            ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))
+            put_file(folder, f"automaton-{part}", pickle.dumps(Automaton([(i, held.split(b" ")) for i, held in ordered], window)))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], names=["part"])
+
+    return run
+
+
+@functools.lru_cache(HELD)
+def _automaton(folder: str, part: int) -> Automaton:
+    fs, root = file_system(folder)
+    with fs.open_input_file(f"{root}/automaton-{part}") as f:
+        return pickle.loads(f.read())
+
+
+def automata(benchmark: DataFrame, window: int, id_col: str, text_col: str, most_bytes: int = AUTOMATON_BYTES, piece_bytes: int = PIECE_BYTES) -> tuple[str, list[int]]:
+    """The folder of the automata over the benchmark, and the numbers of these."""
+    small_batches(benchmark.sparkSession)
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("words")).where("words is not null").distinct()
+    held = items.mapInArrow(_item_pieces(window, piece_bytes), "item string, words binary")
+    total = held.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    n, folder = max(1, -(-total // most_bytes)), shared_path(benchmark.sparkSession, "automata")
+    dealt = held.select(F.pmod(F.xxhash64("item", "words"), F.lit(n)).alias("part"), "item", "words").repartition(n, "part")
+    return folder, sorted(r["part"] for r in dealt.mapInArrow(_build(folder, window), "part long").collect())
+
+
+def _matcher(folder: str, parts: list[int]):
+    def match(seqs: list[list[bytes]]) -> list[tuple[list[list[int]], set[str | None]]]:
+        """Spans and items of each text, one automaton after another."""
+        out: list[tuple[list[list[int]], set[str | None]]] = [([], set()) for _ in seqs]
+        for part in parts:
+            automaton = _automaton(folder, part)
+            for i, seq in enumerate(seqs):
+                spans, items = automaton.match(seq)
+                if spans:
+                    out[i] = (_merge(out[i][0], spans) if out[i][0] else spans, out[i][1] | items)
+        return out
+
+    return match
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False) -> DataFrame:
@@ -223,36 +288,29 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
     Cleaning removes spans until no window is left, so that words which a removal brings
     together cannot form a new one. See the module for nulls and other special cases.
     """
-    sc = docs.sparkSession.sparkContext
-    held = [sc.broadcast(a) for a in automata(benchmark, window, item_col, item_text_col)]  # each of bounded size
-
-    def look(seq: list[bytes]) -> tuple[list[list[int]], set[str]]:
-        spans, items = held[0].value.match(seq)
-        for more in held[1:]:
-            s, i = more.value.match(seq)
-            spans, items = _merge(spans, s), items | i
-        return spans, items
+    match = _matcher(*automata(benchmark, window, item_col, item_text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 1):
-                out = []
-                for text in batch.column(1).cast(pa.binary()).to_pylist():
-                    seq = words(text or b"")
-                    spans, items = look(seq)
-                    kept = None
-                    if clean and spans:
-                        kept, left = cut(text, spans), spans
-                        while left:
-                            left, _ = look(words(kept))
-                            kept = cut(kept, left)
-                        kept = kept.decode("utf-8", "replace")
-                    out.append((len(seq), sum(e - s for s, e in spans), sorted(items), [{"start": s, "end": e} for s, e in spans], kept))
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                seqs = [words(t) for t in texts]
+                matched = match(seqs)
+                kept: dict[int, bytes] = {}
+                left = {i: spans for i, (spans, _) in enumerate(matched) if spans} if clean else {}
+                while left:
+                    kept |= {i: cut(kept.get(i, texts[i]), spans) for i, spans in left.items()}
+                    again = match([words(kept[i]) for i in left])
+                    left = {i: spans for i, (spans, _) in zip(left, again, strict=True) if spans}
+                out = [
+                    (len(seq), sum(e - s for s, e in spans), sorted(i for i in items if i is not None), [{"start": s, "end": e} for s, e in spans], kept[i].decode("utf-8", "replace") if i in kept else None)
+                    for i, (seq, (spans, items)) in enumerate(zip(seqs, matched, strict=True))
+                ]
                 cols = list(zip(*out, strict=True)) if out else [[]] * 5
                 found = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.string()), _SPAN, pa.string()), strict=True)], names=FOUND.names)
                 yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", "found"])
 
-    return map_rows(docs, [F.col(text_col).cast("string").alias("words")], run, FOUND)
+    return map_rows(docs, [F.col(f"`{text_col}`").cast("string").alias("words")], run, FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage: float = 0.5, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

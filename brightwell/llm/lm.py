@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import functools
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.elias_fano import EliasFano, stored
-from brightwell.llm.shared import drop_path, pieces, shared_path, small_batches, written
+from brightwell.llm.shared import drop_path, file_system, pieces, put_file, shared_path, small_batches, written
 
 _U = np.uint64
 _HASH = xxhash.xxh64_intdigest
@@ -102,22 +101,8 @@ def tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def _file_system(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:/") else uri.replace("file:/", "file:///", 1))
-
-
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Write under another name and move it there: a task that runs twice leaves one whole file."""
-    fs, root = _file_system(folder)
-    fs.create_dir(root, recursive=True)
-    part = f"{root}/{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part, compression=None) as f:
-        f.write(data)
-    fs.move(part, f"{root}/{name}")
-
-
 def _map(folder: str, name: str) -> np.ndarray:
-    fs, root = _file_system(folder)
+    fs, root = file_system(folder)
     if isinstance(fs, pyarrow.fs.LocalFileSystem):
         return np.asarray(np.memmap(f"{root}/{name}", np.uint8, "r"))
     with fs.open_input_file(f"{root}/{name}") as f:
@@ -383,7 +368,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple
 def _build_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (keys, counts) in _gathered(batches, 2):
-            _put(folder, f"words-{shard}", stored([*EliasFano.build(keys).dump(), counts]))
+            put_file(folder, f"words-{shard}", stored([*EliasFano.build(keys).dump(), counts]))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "words", "total"])
 
     return run
@@ -404,7 +389,7 @@ def _gather_triples(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (key, third, count) in _gathered(batches, 3):
-            _put(model.folder, f"raw-{shard}", pack(key, third, count))
+            put_file(model.folder, f"raw-{shard}", pack(key, third, count))
             context = key[np.concatenate(([True], key[1:] != key[:-1]))] // _U(model.n_words)
             size = int(model.bases[shard + 1] - model.bases[shard])
             hot, types = np.unique(context[context >= size].astype(np.int64) - size, return_counts=True)
@@ -438,7 +423,7 @@ def _build_levels(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in (done := batch.column(0).to_pylist()):
-                _put(model.folder, f"grams-{shard}", stored(_levels(model, shard, *unpack(_map(model.folder, f"raw-{shard}").tobytes(), 3))))
+                put_file(model.folder, f"grams-{shard}", stored(_levels(model, shard, *unpack(_map(model.folder, f"raw-{shard}").tobytes(), 3))))
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
     return run
@@ -455,7 +440,7 @@ def train(texts: DataFrame, folder: str, bits: int) -> Model:
     sizes = {r["shard"]: r for r in _of_shards(counted, n_shards).mapInArrow(_build_words(folder), "shard int, words long, total long").collect()}
     bases = np.concatenate(([0], np.cumsum([sizes[s]["words"] if s in sizes else 0 for s in range(n_shards)]))).astype(np.int64)
     for s in set(range(n_shards)) - set(sizes):  # of an all but empty corpus
-        _put(folder, f"words-{s}", stored([*EliasFano.build(np.zeros(0, _U)).dump(), np.zeros(0, _U)]))
+        put_file(folder, f"words-{s}", stored([*EliasFano.build(np.zeros(0, _U)).dump(), np.zeros(0, _U)]))
     model = Model(folder, bits, bases, sum(r["total"] for r in sizes.values()))
     # At most 8 words a shard reach that count.
     shards = spark.range(0, n_shards, 1, min(n_shards, 4 * spark.sparkContext.defaultParallelism)).select(F.col("id").cast("int").alias("shard"))
@@ -466,7 +451,7 @@ def train(texts: DataFrame, folder: str, bits: int) -> Model:
     built, at = written(_of_shards(triples, n_shards).mapInArrow(_gather_triples(model), "shard int, hot long, types long"), "lm-hot")
     done = {r["shard"] for r in built.select("shard").distinct().collect()}
     for s in set(range(n_shards)) - done:
-        _put(folder, f"raw-{s}", pack(*[np.zeros(0, _U)] * 3))
+        put_file(folder, f"raw-{s}", pack(*[np.zeros(0, _U)] * 3))
     types = {r["hot"]: r["n"] for r in built.where("hot >= 0").groupBy("hot").agg(F.sum("types").alias("n")).collect()}
     drop_path(spark, at)
     model.hot_types = np.array([types.get(int(h), 0) for h in model.hot], np.int64)

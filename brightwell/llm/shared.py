@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (tests in one process) is a folder of our own made and set.
+    Only where that is unset and all runs in one process, as in tests, is a folder of our own made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="brightwell-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -42,6 +46,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Make a folder through Hadoop's file system of that path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate result, through Hadoop's file system of that path."""
     jvm = spark.sparkContext._jvm
@@ -49,6 +59,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def file_system(uri: str):
+    """The file system of a folder of the shared one, for tasks, and the folder's path there."""
+    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:/") else uri.replace("file:/", "file:///", 1))
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Write under another name and move it there: a task that runs twice leaves one whole file."""
+    fs, root = file_system(folder)
+    fs.create_dir(root, recursive=True)
+    part = f"{root}/{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    fs.move(part, f"{root}/{name}")
+
+
 def written(df: DataFrame, label: str, most_rows: int | None = None, rows_a_file: int = 100_000) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
 
@@ -64,7 +89,6 @@ def written(df: DataFrame, label: str, most_rows: int | None = None, rows_a_file
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, held)
-        spark._jvm.System.gc()  # Spark deletes shuffle files when their plans are collected on the driver
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -74,7 +98,11 @@ def lower_ascii(column):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers by bytes, however long the texts are."""
+    """Bound the Arrow batches that go to Python workers by bytes, however long the texts are.
+
+    Spark reads these settings when the query runs, after the operator has returned it, so they
+    stay in the session; a bound that is tighter already is kept.
+    """
     for key, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 2_000)):
         key = f"spark.sql.execution.arrow.{key}"
         held = int(spark.conf.get(key).rstrip("b"))

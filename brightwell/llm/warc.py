@@ -7,8 +7,8 @@ that ran twice leaves nothing behind that counts.
 
 Defined cases: a null payload is empty; the smallest page_id of equal payloads is the response
 and the others are revisits of it; rows that repeat that smallest page_id are responses too; a
-row without page_id is always a response and nothing refers to it. An empty table gives an empty
-table. Other columns of the input are ignored, whatever their names.
+row without page_id is always a response and nothing refers to it; a very long payload is held whole
+by its task. An empty table gives an empty folder, which reads as an empty table. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +20,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm.shared import shared_path, small_batches
+from brightwell.llm.shared import file_system, make_dir, shared_path, small_batches
 
 SKIPPABLE = 0x184D2A5D  # fixed value: the skippable frame kind that holds a dictionary
 FRAME = 0xFD2FB528  # fixed value: the magic number of a Zstandard frame
@@ -188,13 +187,9 @@ def read_archive(data) -> Iterator[dict]:
         at = end
 
 
-def _file_system(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:/") else uri.replace("file:/", "file:///", 1))
-
-
 def _writer(folder: str, archive_bytes: int, sample_bytes: int, dictionary_bytes: int, level: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _file_system(folder)
+        fs, root = file_system(folder)
         waiting: list[tuple] = []
         held, sink, writer, name, done = 0, None, None, "", []
 
@@ -255,6 +250,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", uri_c
     long_enough = F.octet_length(F.coalesce("html", F.lit(""))) >= min_payload_bytes
     firsts = rows.where(F.col("page_id").isNotNull() & long_enough).groupBy("body").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("body", "first")
     marked = rows.join(firsts, "body", "left").select("page_id", "uri", "html", F.when(long_enough, F.col("first")).alias("first"))
+    make_dir(spark, folder)  # without a page no task does
     manifest = marked.mapInArrow(_writer(folder, archive_bytes, sample_bytes, dictionary_bytes, level), WRITTEN)
     at = shared_path(spark, "warc-manifest")
     manifest.write.parquet(at)

@@ -115,13 +115,16 @@ def test_decontaminate(spark, docs, sample):
     for r in found:
         assert (r.n_words, r.n_hit, r["items"]) == brute_hits(r.text, named, 10)
     assert len(found) == len(rows)
-    few = [(str(k), t) for k, t in bench]
-    for most in (400, 1500):  # several automata find the same
-        parts = list(decontam.automata(items, 10, "item_id", "text", most))
+    for most, piece in ((400, 100), (1500, 1 << 18), (100, 1)):  # several automata, of pieces too, find the same
+        folder, parts = decontam.automata(items, 10, "item_id", "text", most, piece)
         assert len(parts) > 1
-        for r in found:
-            seq = decontam.words((r.text or "").encode())
-            assert sorted(set().union(*(a.match(seq)[1] for a in parts))) == brute_hits(r.text, few, 10)[2]
+        matched = decontam._matcher(folder, parts)([decontam.words((r.text or "").encode()) for r in found])
+        for r, (spans, ids) in zip(found, matched):
+            assert (sum(e - s for s, e in spans), sorted(ids)) == brute_hits(r.text, named, 10)[1:]
+    nameless = spark.createDataFrame([(None, bench[0][1]), (None, bench[1][1]), (7, bench[1][1])], "item_id long, text string")
+    for r in decontam.find_spans(docs(rows), nameless).selectExpr("row.doc_id", "row.text", "found.*").collect():
+        hit = brute_hits(r.text, [("x", bench[0][1]), ("7", bench[1][1])], 10)
+        assert (r.n_hit, r["items"]) == (hit[1], [i for i in hit[2] if i != "x"])
     clean = {r.doc_id: r for r in decontam.decontaminate(docs(rows), items).collect()}
     assert 30_003 not in clean and clean[30_001].text.startswith("Before.\n! after") and clean[30_001].n_chars == len(clean[30_001].text)
     assert clean[30_002].text == "a  " + "b " * 20 and clean[10_001].text is None
@@ -358,7 +361,7 @@ def test_warc(spark):
     assert manifest.count() == len(rows) and manifest.selectExpr("min(offset) > 8").first()[0]
     none = shared_path(spark, "warc-test")
     empty = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), none)
-    assert empty.count() == 0
+    assert empty.count() == 0 and warc.read_archives(spark, none, empty).count() == 0 and warc.read_archives(spark, none).count() == 0
 
 
 def test_warc_minimum(spark):
