@@ -321,7 +321,7 @@ def _count_triples(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 0, 16 << 20):
+            for batch in pieces(whole, 0, 6 << 20):
                 unique, flat, starts = tokens(batch.column(0))
                 number = model.lookup(unique)[0]
                 (before, now, _), (pair, following, back) = windows(flat, starts, int(np.searchsorted(unique, _U(END))), len(unique))
@@ -475,7 +475,7 @@ def shard_bits(texts: DataFrame) -> int:
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 0, 16 << 20):
+            for batch in pieces(whole, 0, 6 << 20):
                 unique, flat, starts = tokens(batch.column(0))
                 known, base, score = model.score(unique, flat, starts)
                 arrays = [batch.column(1), batch.column(2), pa.array(np.diff(starts)), pa.array(known), pa.array(np.full(len(known), model.n_tokens, np.int64)), pa.array(base), pa.array(score)]
