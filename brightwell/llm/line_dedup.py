@@ -12,9 +12,9 @@ All others are verified by the exact Jaccard similarity of their shingle sets, a
 union-find joins them. Of each component the line of the first position stays: by document id
 (null last), then by the text's hash, then by its place in the document.
 
-In a band each line is first verified against the band's first line only; other lines of a band
-follow only where it is left in more than one component, only across components, and after the
-sketches. Where such a band holds over MANY lines, only those are compared that share one of
+In a band each line is first verified against the band's first line only; where that leaves the
+band in more than one component, against LEADERS others; and where it still is, all pairs across
+components follow, after sketches and marks. Where such a band holds over MANY lines, only those are compared that share one of
 their rarest shingles: with a share of 0.2 of its shingles and one more, the rarest in the band
 first, each line has one in common with every similar line (prefix filtering, which loses no
 pair). So copies and dense groups never yield their square, nor do lines that share a passage but
@@ -38,11 +38,13 @@ K = 9
 VALUES, BANDS, AGREE = 10, 5, 5
 SIMILAR = 0.8
 #: Words of 64 bits in a line's marks.
-WORDS = 32
+WORDS = 64
 #: Ids of lines, of 8 bytes each, that are few enough to be sent to every task.
 FEW_IDS = 2_000_000
+#: Lines of a band that all its others are held against before pairs across components.
+LEADERS = 4
 #: Lines of a band of several components that are compared pair by pair at most.
-MANY = 500
+MANY = 4_000
 CHUNK = 4096
 _OUTER = " \t\n\x0b\x0c\r"
 
@@ -120,6 +122,13 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), "line")
 
 
+def _marked(pairs: DataFrame, marked: DataFrame, similar: float) -> DataFrame:
+    """Those of the pairs (a, b) whose marks allow that they are similar."""
+    for end in ("a", "b"):
+        pairs = pairs.join(marked.select(F.col("id").alias(end), F.col("marks").alias(f"marks_{end}")), end)
+    return pairs.where(_may_be_similar("marks_a", "marks_b", similar)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Those of the pairs (a, b) whose lines are similar."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
@@ -128,44 +137,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def _open_bands(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, id, sketch, root, n) of the bands, of n lines, that hold several components."""
+    """(band, id, sketch, root, n, leads) of the bands, of n lines, that hold several components; of each band LEADERS lines lead, at most."""
     placed = met.join(found, met["id"] == found["node"], "left").select("band", "id", "sketch", F.coalesce("root", "id").alias("root"))
-    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
-    return placed.join(several, "band").select("band", "id", "sketch", "root", "n")
+    mixed = [F.xxhash64("id", F.lit(i)) for i in range(LEADERS)]
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *[F.min(m).alias(f"lead{i}") for i, m in enumerate(mixed)]).where("low < high").drop("low", "high")
+    leads = F.lit(False)
+    for i, m in enumerate(mixed):
+        leads |= m == F.col(f"lead{i}")
+    return placed.join(several, "band").select("band", "id", "sketch", "root", "n", leads.alias("leads"))
 
 
-def _crossing(rows: DataFrame, by: list[str], similar: float) -> DataFrame:
-    """Pairs (a, b) of rows (*by, id, sketch, root, marks) that are equal in by, lie in two components and may be similar."""
-    left, right = (rows.select(*[F.col(c).alias(f"{c}_{n}") for c in by], F.col("id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("root", "sketch", "marks")]) for n in ("a", "b"))
-    meet = F.col("root_a") < F.col("root_b")
+def _crossing(rows: DataFrame, others: DataFrame, by: list[str], meet: Column) -> DataFrame:
+    """Pairs (a, b) of a row and another (*by, id, root, ...) that are equal in by and fulfil meet, on x_a and x_b for columns x."""
+    left, right = (df.select(*[F.col(c).alias(n if c == "id" else f"{c}_{n}") for c in df.columns]) for df, n in ((rows, "a"), (others, "b")))
     for c in by:
         meet &= F.col(f"{c}_a") == F.col(f"{c}_b")
-    return left.join(right, meet & _agree("sketch_a", "sketch_b") & _may_be_similar("marks_a", "marks_b", similar)).select("a", "b")
+    return left.join(right, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _rare(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """(band, shingle, id, sketch, root, marks) for each row's rarest shingles in its band that another line has too."""
-    own = rows.join(texts, "id").select("band", "id", "sketch", "root", "marks", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("own"))
-    dealt = own.select("band", "id", "sketch", "root", "marks", F.size("own").alias("size"), F.explode("own").alias("shingle"))
+    """(band, shingle, id, root) for each row's rarest shingles in its band that another line has too."""
+    own = rows.join(texts, "id").select("band", "id", "root", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("own"))
+    # Outer, although there is always one: else a filter that makes all texts' shingles goes below the join.
+    dealt = own.select("band", "id", "root", F.size("own").alias("size"), F.explode_outer("own").alias("shingle"))
+    dealt = dealt.select("band", "shingle", "id", "root", (F.col("size") - F.ceil(F.col("size") * similar) + 1).alias("most"))
     counted = dealt.join(dealt.groupBy("band", "shingle").agg(F.count("*").alias("lines")), ["band", "shingle"])
     place = F.row_number().over(Window.partitionBy("band", "id").orderBy("lines", "shingle"))
-    return counted.withColumn("place", place).where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * similar) + 1) & (F.col("lines") > 1)).select("band", "shingle", "id", "sketch", "root", "marks")
+    return counted.withColumn("place", place).where((F.col("place") <= F.col("most")) & (F.col("lines") > 1)).select("band", "shingle", "id", "root")
 
 
 def _extended(links: DataFrame, found: DataFrame, n_lines: int) -> tuple[DataFrame, list[str]]:
-    """(node, root) of components with more links between them, over n_lines lines at most, and what was written for them."""
-    # A component's lines are one node by now: only links between roots are new.
-    root = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-    lifted = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct()
-    lifted, lifted_at = written(lifted, "line-links", n_lines)
-    joined, joined_at = connected_components(lifted, "line-components")
-    joined = joined.withColumnsRenamed({"node": "old", "root": "new"})
-    known = found.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
-    found = known.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).distinct()
-    found, at = written(found, "line-classes", n_lines)
-    for path in (lifted_at, joined_at):
-        drop_path(links.sparkSession, path)
-    return found, [at]
+    """(node, root) of components with more links between them, over n_lines lines at most, and where it is written if there are any."""
+    links, links_at = written(links, "line-links", n_lines, 10_000)
+    paths = []
+    if links.limit(1).count():
+        # A component's lines are one node by now: only links between roots are new.
+        root = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        lifted = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct()
+        lifted, lifted_at = written(lifted, "line-links", n_lines)
+        joined, joined_at = connected_components(lifted, "line-components")
+        joined = joined.withColumnsRenamed({"node": "old", "root": "new"})
+        known = found.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
+        found = known.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).distinct()
+        found, at = written(found, "line-classes", n_lines)
+        paths.append(at)
+        for path in (lifted_at, joined_at):
+            drop_path(links.sparkSession, path)
+    drop_path(links.sparkSession, links_at)
+    return found, paths
 
 
 def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -196,24 +215,26 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     firsts = met.where("id = first").select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")).distinct()
     stars = stars.join(firsts, "a").where(_agree("sketch_a", "sketch_b")).select("a", "b")
     marked, marked_at = written(marks(texts), "line-marks", n_met)
-    for end in ("a", "b"):
-        stars = stars.join(marked.select(F.col("id").alias(end), F.col("marks").alias(f"marks_{end}")), end)
-    stars = stars.where(_may_be_similar("marks_a", "marks_b", similar)).select("a", "b")
-    links, links_at = written(_verified(stars, texts, similar), "line-links", n_met, 10_000)
+    links, links_at = written(_verified(_marked(stars, marked, similar), texts, similar), "line-links", n_met, 10_000)
     found, found_at = connected_components(links, "line-components")
-    # What is similar across the components that are left in a band.
+    # Bands that still hold several components: each line with a few more of its band, then what may be
+    # similar across the components that are left.
+    may = _agree("sketch_a", "sketch_b") & _may_be_similar("marks_a", "marks_b", similar)
     open_, open_at = written(_open_bands(met, found), "line-open", n_met)
     held = open_.join(marked, "id")
-    pairs = _crossing(held.where(F.col("n") <= many), ["band"], similar)
-    if open_.where(F.col("n") > many).limit(1).count():
-        pairs = pairs.unionByName(_crossing(_rare(held.where(F.col("n") > many), texts, similar), ["band", "shingle"], similar))
-    more, more_at = written(_verified(pairs.distinct(), texts, similar), "line-links", n_met, 10_000)
-    paths = [places_at, found_at]
-    if more.limit(1).count():
-        found, at = _extended(more, found, n_met)
-        paths += at
-    for at in (met_at, texts_at, marked_at, links_at, open_at, more_at):
+    pairs = _crossing(held, held.where("leads"), ["band"], (F.col("root_a") != F.col("root_b")) & may)
+    found, paths = _extended(_verified(pairs, texts, similar), found, n_met)
+    open_2, open_2_at = written(_open_bands(open_.where(F.col("n") > 2).select("band", "id", "sketch"), found), "line-open", n_met)
+    pairs = _crossing(*[open_2.where(F.col("n") <= many).join(marked, "id")] * 2, ["band"], (F.col("root_a") < F.col("root_b")) & ~(F.col("leads_a") | F.col("leads_b")) & may)
+    large = open_2.where(F.col("n") > many).select("band", "id", "root")
+    if large.limit(1).count():
+        rare = _rare(large, texts, similar)
+        rare = _crossing(rare, rare, ["band", "shingle"], F.col("root_a") < F.col("root_b"))
+        pairs = pairs.unionByName(_marked(rare, marked, similar)).distinct()
+    found, more = _extended(_verified(pairs, texts, similar), found, n_met)
+    for at in (met_at, texts_at, marked_at, links_at, open_at, open_2_at, *(paths if more else [])):
         drop_path(spark, at)
+    paths = [places_at, found_at, *(more or paths)]
     return places.select("id", "doc_id", "text_hash", "line_no"), found, paths
 
 

@@ -89,6 +89,7 @@ def written(df: DataFrame, label: str, most_rows: int | None = None, rows_a_file
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, held)
+        spark._jvm.System.gc()  # Spark deletes shuffle files when their plans are collected on the driver, else whenever that may be
     return spark.read.schema(df.schema).parquet(path), path
 
 
