@@ -38,11 +38,11 @@ K = 9
 VALUES, BANDS, AGREE = 10, 5, 5
 SIMILAR = 0.8
 #: Words of 64 bits in a line's marks.
-WORDS = 64
+WORDS = 32
 #: Ids of lines, of 8 bytes each, that are few enough to be sent to every task.
 FEW_IDS = 2_000_000
 #: Lines of a band that all its others are held against before pairs across components.
-LEADERS = 4
+LEADERS = 1
 #: Lines of a band of several components that are compared pair by pair at most.
 MANY = 4_000
 CHUNK = 4096
@@ -79,9 +79,9 @@ def signatures(lines: DataFrame, k: int = K) -> DataFrame:
     return least.select("id", "n", *keys, sketch.alias("sketch"))
 
 
-def marks(lines: DataFrame, k: int = K) -> DataFrame:
-    """(id, marks) of distinct normal lines (id, line): the number of shingles, repeats included, and their bits."""
-    lines = lines.repartition("id")  # the only shuffle: what follows is grouped by id first
+def marks(lines: DataFrame, n_lines: int, k: int = K) -> DataFrame:
+    """(id, marks) of about n_lines distinct normal lines (id, line): the number of shingles, repeats included, and their bits."""
+    lines = lines.repartition(1 + n_lines // 10_000, "id")  # the only shuffle: what follows is grouped by id first
     bits = _hashed(lines, k).select("id", F.shiftrightunsigned("h", 6).bitwiseAND(WORDS - 1).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit"))
     words = bits.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("size"))
     held = words.groupBy("id").agg(F.sum("size").alias("size"), *[F.max(F.when(F.col("word") == w, F.col("bits"))).alias(f"w{w}") for w in range(WORDS)])
@@ -168,7 +168,7 @@ def _rare(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 def _extended(links: DataFrame, found: DataFrame, n_lines: int) -> tuple[DataFrame, list[str]]:
     """(node, root) of components with more links between them, over n_lines lines at most, and where it is written if there are any."""
-    links, links_at = written(links, "line-links", n_lines, 10_000)
+    links, links_at = written(links, "line-links", n_lines, 50_000)
     paths = []
     if links.limit(1).count():
         # A component's lines are one node by now: only links between roots are new.
@@ -214,8 +214,8 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     stars = met.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("sketch").alias("sketch_b")).distinct()
     firsts = met.where("id = first").select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")).distinct()
     stars = stars.join(firsts, "a").where(_agree("sketch_a", "sketch_b")).select("a", "b")
-    marked, marked_at = written(marks(texts), "line-marks", n_met)
-    links, links_at = written(_verified(_marked(stars, marked, similar), texts, similar), "line-links", n_met, 10_000)
+    marked, marked_at = written(marks(texts, n_met), "line-marks", n_met, 50_000)
+    links, links_at = written(_verified(_marked(stars, marked, similar), texts, similar), "line-links", n_met, 50_000)
     found, found_at = connected_components(links, "line-components")
     # Bands that still hold several components: each line with a few more of its band, then what may be
     # similar across the components that are left.

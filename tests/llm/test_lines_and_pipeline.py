@@ -106,7 +106,7 @@ def test_marks_bound_similarity_from_above(spark):
 
     lines = sorted(set(many_kinds(random.Random(9))))[:150]
     frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string")
-    marked = line_dedup.marks(frame).join(frame, "id")
+    marked = line_dedup.marks(frame, 150).join(frame, "id")
     pairs = marked.toDF("a", "marks_a", "line_a").join(marked.toDF("b", "marks_b", "line_b"), F.col("a") < F.col("b"))
     got = pairs.select("line_a", "line_b", line_dedup._may_be_similar("marks_a", "marks_b", 0.5).alias("may"), line_dedup.similar_lines(F.col("line_a"), F.col("line_b"), 0.5).alias("is")).collect()
     cut = lambda line: frozenset(line[i : i + 9] for i in range(max(1, len(line) - 8)))
