@@ -48,6 +48,10 @@ def identifier_too_long(start: str) -> SqlError:
     return SqlError(103, 15, 4, f"The identifier that starts with '{start}' is too long. Maximum length is 128.")
 
 
+def nested_too_deeply() -> SqlError:
+    return SqlError(191, 15, 1, "Some part of your SQL statement is nested too deeply. Rewrite the query or break it up into smaller queries.")
+
+
 def unclosed_quote(text: str) -> SqlError:
     return SqlError(105, 15, 1, f"Unclosed quotation mark after the character string '{text}'.")
 
