@@ -14,11 +14,11 @@ union-find joins them. Of each component the line of the first position stays: b
 
 In a band each line is first verified against the band's first line only; where that leaves the
 band in more than one component, against LEADERS others; and where it still is, all pairs across
-components follow, after sketches and marks. Where such a band holds over MANY lines, only those are compared that share one of
-their rarest shingles: with a share of 0.2 of its shingles and one more, the rarest in the band
-first, each line has one in common with every similar line (prefix filtering, which loses no
-pair). So copies and dense groups never yield their square, nor do lines that share a passage but
-no more. Equal lines count as one throughout, however many there are.
+components follow, after sketches and marks. Lines of bands that are still open and hold over
+MANY are compared where they share one of their rarest shingles and have enough left from there
+on (prefix and position filtering, which lose no pair). So copies and dense groups never yield
+their square, nor do lines that share a passage but no more. Equal lines count as one throughout,
+however many there are.
 
 Defined cases: a line without a word is never removed; a null text stays null; rows that repeat
 both id and text share one decision; a text of which all lines go becomes empty; a very long line
@@ -43,8 +43,10 @@ WORDS = 32
 FEW_IDS = 2_000_000
 #: Lines of a band that all its others are held against before pairs across components.
 LEADERS = 1
-#: Lines of a band of several components that are compared pair by pair at most.
-MANY = 4_000
+#: Lines of a band of several components that are compared pair by pair at most; more go by their rarest shingles.
+MANY = 250
+#: Rounds in which each line has a pair or two verified before all that are left.
+PICKS = 2
 CHUNK = 4096
 _OUTER = " \t\n\x0b\x0c\r"
 
@@ -88,12 +90,15 @@ def marks(lines: DataFrame, n_lines: int, k: int = K) -> DataFrame:
     return held.select("id", F.struct("size", *[F.coalesce(f"w{w}", F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)]).alias("marks"))
 
 
-def _agree(one: str, other: str) -> Column:
-    """Whether two sketches agree in AGREE of their values or more."""
-    differ = F.col(one).bitwiseXOR(F.col(other))
+def _agreeing(differ: Column) -> Column:
+    """Whether two sketches that differ in these bits agree in AGREE of their values or more."""
     return sum((F.when(differ.bitwiseAND(63 << 6 * i) == 0, 1).otherwise(0) for i in range(VALUES)), F.lit(0)) >= AGREE
 
 
+def _agree(one: str, other: str) -> Column:
+    return _agreeing(F.col(one).bitwiseXOR(F.col(other)))
+
+
 def _may_be_similar(one: str, other: str, similar: float) -> Column:
     """False only for marks of lines that are less similar: with sizes s in all and d differences, similarity is (s - d) / (s + d)."""
     share, size = round(similar * 10_000), F.col(f"{one}.size") + F.col(f"{other}.size")
@@ -156,19 +161,26 @@ def _crossing(rows: DataFrame, others: DataFrame, by: list[str], meet: Column) -
 
 
 def _rare(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """(band, shingle, id, root) for each row's rarest shingles in its band that another line has too."""
-    own = rows.join(texts, "id").select("band", "id", "root", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("own"))
+    """(shingle, id, root, size, left, short) for each line's rarest shingles that another line has too.
+
+    The shingles of a line in one order for all, rarest first: from the first that two similar lines have in
+    common, left are at least as many in each as they have in common. So that one is among the rarest, of a share
+    of 1 - similar, of the line of no fewer shingles, and among the other's short ones, (1 - similar) / (1 + similar).
+    """
+    share = round(similar * 10_000)
+    own = rows.select("id", "root").distinct().join(texts, "id").select("id", "root", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("own"))
     # Outer, although there is always one: else a filter that makes all texts' shingles goes below the join.
-    dealt = own.select("band", "id", "root", F.size("own").alias("size"), F.explode_outer("own").alias("shingle"))
-    dealt = dealt.select("band", "shingle", "id", "root", (F.col("size") - F.ceil(F.col("size") * similar) + 1).alias("most"))
-    counted = dealt.join(dealt.groupBy("band", "shingle").agg(F.count("*").alias("lines")), ["band", "shingle"])
-    place = F.row_number().over(Window.partitionBy("band", "id").orderBy("lines", "shingle"))
-    return counted.withColumn("place", place).where((F.col("place") <= F.col("most")) & (F.col("lines") > 1)).select("band", "shingle", "id", "root")
+    dealt = own.select("id", "root", F.size("own").cast("long").alias("size"), F.explode_outer("own").alias("shingle"))
+    counted = dealt.join(dealt.groupBy("shingle").agg(F.count("*").alias("lines")).where("lines > 1"), "shingle", "left")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("lines", F.lit(1)), "shingle"))
+    placed = counted.select("shingle", "id", "root", "size", "lines", (F.col("size") - place + 1).alias("left"))
+    rarest = placed.where((F.col("left") * 10_000 >= F.col("size") * share) & F.col("lines").isNotNull())
+    return rarest.select("shingle", "id", "root", "size", "left", (F.col("left") * (10_000 + share) >= F.col("size") * (2 * share)).alias("short"))
 
 
 def _extended(links: DataFrame, found: DataFrame, n_lines: int) -> tuple[DataFrame, list[str]]:
     """(node, root) of components with more links between them, over n_lines lines at most, and where it is written if there are any."""
-    links, links_at = written(links, "line-links", n_lines, 50_000)
+    links, links_at = written(links, "line-links", n_lines, 5_000)
     paths = []
     if links.limit(1).count():
         # A component's lines are one node by now: only links between roots are new.
@@ -187,6 +199,40 @@ def _extended(links: DataFrame, found: DataFrame, n_lines: int) -> tuple[DataFra
     return found, paths
 
 
+def _joined(pairs: DataFrame, texts: DataFrame, found: DataFrame, n_lines: int, similar: float) -> tuple[DataFrame, list[str]]:
+    """(node, root) of components with the links among pairs (a, b), and where it is written if any is new.
+
+    In the first PICKS rounds each line has one or two of its pairs verified, so that a dense group becomes few
+    components soon; then come all pairs whose lines are in different components still.
+    """
+    spark, paths = pairs.sparkSession, []
+    left, left_at = written(pairs, "line-pairs", n_lines, 5_000)
+    for turn in range(PICKS + 1):
+        if not left.limit(1).count():
+            break
+        if turn == PICKS:
+            found, more = _extended(_verified(left, texts, similar), found, n_lines)
+        else:
+            drawn = left.withColumn("draw", F.xxhash64("a", "b"))
+            for end in ("a", "b"):
+                drawn = drawn.join(drawn.groupBy(end).agg(F.min("draw").alias(f"draw_{end}")), end)
+            drawn, drawn_at = written(drawn.select("a", "b", ((F.col("draw") == F.col("draw_a")) | (F.col("draw") == F.col("draw_b"))).alias("now")), "line-pairs", n_lines, 5_000)
+            found, more = _extended(_verified(drawn.where("now").select("a", "b"), texts, similar), found, n_lines)
+            rest = drawn.where("not now").select("a", "b")
+            for end in ("a", "b"):
+                rest = rest.join(found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+            before, (left, left_at) = left_at, written(rest, "line-pairs", n_lines, 5_000)
+            for at in (before, drawn_at):
+                drop_path(spark, at)
+        if more:
+            for at in paths:
+                drop_path(spark, at)
+            paths = more
+    drop_path(spark, left_at)
+    return found, paths
+
+
 def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> tuple[DataFrame, DataFrame, list[str]]:
     """Places of lines, components, and what is written for these.
 
@@ -196,7 +242,9 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     spark = docs.sparkSession
     signed, signed_at = written(signatures(_numbered(docs, id_col, text_col).select("id", "line")), "line-signatures")
     bands = signed.select("id", "sketch", F.explode(F.array(*[f"k{i}" for i in range(BANDS)])).alias("band"))
-    live = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "first")
+    # Of two lines alone in a band the sketches are held against each other at once; most bands that meet by chance end here.
+    live = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.bit_xor("sketch").alias("differ"))
+    live = live.where(F.col("first") < F.col("last")).where((F.col("n") > 2) | _agreeing(F.col("differ"))).select("band", "first")
     live, live_at = written(live, "line-bands")
     met, met_at = written(bands.join(live, "band").select("band", "id", "sketch", "first"), "line-bands")
     drop_path(spark, live_at)
@@ -215,7 +263,7 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     firsts = met.where("id = first").select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")).distinct()
     stars = stars.join(firsts, "a").where(_agree("sketch_a", "sketch_b")).select("a", "b")
     marked, marked_at = written(marks(texts, n_met), "line-marks", n_met, 50_000)
-    links, links_at = written(_verified(_marked(stars, marked, similar), texts, similar), "line-links", n_met, 50_000)
+    links, links_at = written(_verified(_marked(stars, marked, similar), texts, similar), "line-links", n_met, 5_000)
     found, found_at = connected_components(links, "line-components")
     # Bands that still hold several components: each line with a few more of its band, then what may be
     # similar across the components that are left.
@@ -226,13 +274,16 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     found, paths = _extended(_verified(pairs, texts, similar), found, n_met)
     open_2, open_2_at = written(_open_bands(open_.where(F.col("n") > 2).select("band", "id", "sketch"), found), "line-open", n_met)
     pairs = _crossing(*[open_2.where(F.col("n") <= many).join(marked, "id")] * 2, ["band"], (F.col("root_a") < F.col("root_b")) & ~(F.col("leads_a") | F.col("leads_b")) & may)
+    rare_at = None
     large = open_2.where(F.col("n") > many).select("band", "id", "root")
     if large.limit(1).count():
-        rare = _rare(large, texts, similar)
-        rare = _crossing(rare, rare, ["band", "shingle"], F.col("root_a") < F.col("root_b"))
+        rare, rare_at = written(_rare(large, texts, similar), "line-rare")
+        share = round(similar * 10_000)
+        enough = F.least("left_a", "left_b") * (10_000 + share) >= (F.col("size_a") + F.col("size_b")) * share
+        rare = _crossing(rare, rare.where("short"), ["shingle"], (F.col("root_a") != F.col("root_b")) & (F.col("size_a") >= F.col("size_b")) & enough)
         pairs = pairs.unionByName(_marked(rare, marked, similar)).distinct()
-    found, more = _extended(_verified(pairs, texts, similar), found, n_met)
-    for at in (met_at, texts_at, marked_at, links_at, open_at, open_2_at, *(paths if more else [])):
+    found, more = _joined(pairs, texts, found, n_met, similar)
+    for at in (met_at, texts_at, marked_at, links_at, open_at, open_2_at, *([rare_at] if rare_at else []), *(paths if more else [])):
         drop_path(spark, at)
     paths = [places_at, found_at, *(more or paths)]
     return places.select("id", "doc_id", "text_hash", "line_no"), found, paths
