@@ -12,13 +12,15 @@ All others are verified by the exact Jaccard similarity of their shingle sets, a
 union-find joins them. Of each component the line of the first position stays: by document id
 (null last), then by the text's hash, then by its place in the document.
 
-In a band each line is first verified against the band's first line only; where that leaves the
-band in more than one component, against LEADERS others; and where it still is, all pairs across
-components follow, after sketches and marks. Lines of bands that are still open and hold over
-MANY are compared where they share one of their rarest shingles and have enough left from there
-on (prefix and position filtering, which lose no pair). So copies and dense groups never yield
-their square, nor do lines that share a passage but no more. Equal lines count as one throughout,
-however many there are.
+In bands of up to SMALL lines all pairs whose sketches agree are verified; in larger ones each line
+against LEADERS of the band's lines. Bands that then still hold several components are compared in
+pairs across these, after sketches and marks. Before that, bands of over MANY lines are split by
+further values of their sketches, one after the other, until a group has few lines or all of it agrees
+in AGREE values: a line goes to one group for each value, so no agreeing pair is lost. Groups that
+agree and still hold over MANY lines are compared where lines share one of their rarest shingles and
+have enough left from there on (prefix and position filtering, which lose no pair). So copies and dense
+groups never yield their square, nor do lines that share a passage but no more. Equal lines count as
+one throughout, however many there are.
 
 Defined cases: a line without a word is never removed; a null text stays null; rows that repeat
 both id and text share one decision; a text of which all lines go becomes empty; a very long line
@@ -39,12 +41,14 @@ VALUES, BANDS, AGREE = 10, 5, 5
 SIMILAR = 0.8
 #: Words of 64 bits in a line's marks.
 WORDS = 32
-#: Ids of lines, of 8 bytes each, that are few enough to be sent to every task.
+#: Ids of lines or bands, of 8 bytes each, that are few enough to be sent to every task.
 FEW_IDS = 2_000_000
-#: Lines of a band that all its others are held against before pairs across components.
-LEADERS = 1
-#: Lines of a band of several components that are compared pair by pair at most; more go by their rarest shingles.
-MANY = 250
+#: Lines of a band that are compared in all pairs at once.
+SMALL = 8
+#: Lines of a larger band that all its others are held against before pairs across components.
+LEADERS = 2
+#: Lines of a group of several components that are compared pair by pair at most.
+MANY = 2000
 #: Rounds in which each line has a pair or two verified before all that are left.
 PICKS = 2
 CHUNK = 4096
@@ -107,9 +111,10 @@ def _may_be_similar(one: str, other: str, similar: float) -> Column:
 
 
 def shingles(line: Column, k: int = K) -> Column:
-    """A normal line's shingles, repeats included: what lies end to end from each of the first k characters on."""
-    runs = [F.regexp_extract_all(F.substring(line, F.lit(i + 1), F.length(line)) if i else line, F.lit(f"(?s).{{{k}}}"), F.lit(0)) for i in range(k)]
-    return F.when(F.length(line) < k, F.array(line)).otherwise(F.concat(*runs))
+    """The hashes of a normal line's shingles, repeats included, as in _hashed."""
+    cut = lambda held: F.transform(F.sequence(F.lit(0), held["last"]), lambda at: F.xxhash64(F.substring(held["wide"], at * 4 + 1, F.lit(4 * k))))
+    held = F.array(F.struct(F.encode(line, "utf-32").alias("wide"), F.greatest(F.length(line) - k, F.lit(0)).alias("last")))
+    return F.get(F.transform(held, cut), F.lit(0))
 
 
 def similar_lines(one: Column, other: Column, similar: float) -> Column:
@@ -141,15 +146,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return two.where(similar_lines(F.col("line_a"), F.col("line_b"), similar)).select("a", "b")
 
 
-def _open_bands(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, id, sketch, root, n, leads) of the bands, of n lines, that hold several components; of each band LEADERS lines lead, at most."""
-    placed = met.join(found, met["id"] == found["node"], "left").select("band", "id", "sketch", F.coalesce("root", "id").alias("root"))
-    mixed = [F.xxhash64("id", F.lit(i)) for i in range(LEADERS)]
-    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *[F.min(m).alias(f"lead{i}") for i, m in enumerate(mixed)]).where("low < high").drop("low", "high")
-    leads = F.lit(False)
-    for i, m in enumerate(mixed):
-        leads |= m == F.col(f"lead{i}")
-    return placed.join(several, "band").select("band", "id", "sketch", "root", "n", leads.alias("leads"))
+def _open_bands(placed: DataFrame) -> DataFrame:
+    """(band, id, sketch, root, last, n, varies) of the bands, of n lines, that hold several components; varies: bits of sketches that are not equal in all."""
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_and("sketch").bitwiseXOR(F.bit_or("sketch")).alias("varies"))
+    return placed.join(several.where("low < high").drop("low", "high"), "band").select("band", "id", "sketch", "root", "last", "n", "varies")
+
+
+def _narrower(open_: DataFrame) -> DataFrame:
+    """(band, id, sketch, root, last) with a row of each line for each value after last in which its band is not one.
+
+    Two lines of a band that agree in AGREE values, not all of them common to it, meet in that of their next one.
+    """
+    parts = [F.when((F.col("last") < i) & (F.col("varies").bitwiseAND(63 << 6 * i) != 0), F.struct(F.lit(i).alias("last"), F.xxhash64("band", F.lit(i), F.col("sketch").bitwiseAND(63 << 6 * i)).alias("band"))) for i in range(VALUES)]
+    return open_.select("id", "sketch", "root", F.explode(F.array(*parts)).alias("to")).where("to is not null").select("to.band", "id", "sketch", "root", "to.last")
 
 
 def _crossing(rows: DataFrame, others: DataFrame, by: list[str], meet: Column) -> DataFrame:
@@ -161,21 +170,21 @@ def _crossing(rows: DataFrame, others: DataFrame, by: list[str], meet: Column) -
 
 
 def _rare(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """(shingle, id, root, size, left, short) for each line's rarest shingles that another line has too.
+    """(shingle, id, root, sketch, size, left, short) for each line's rarest shingles that another line has too.
 
     The shingles of a line in one order for all, rarest first: from the first that two similar lines have in
     common, left are at least as many in each as they have in common. So that one is among the rarest, of a share
     of 1 - similar, of the line of no fewer shingles, and among the other's short ones, (1 - similar) / (1 + similar).
     """
     share = round(similar * 10_000)
-    own = rows.select("id", "root").distinct().join(texts, "id").select("id", "root", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("own"))
+    own = rows.select("id", "root", "sketch").distinct().join(texts, "id").select("id", "root", "sketch", F.array_distinct(shingles(F.col("line"))).alias("own"))
     # Outer, although there is always one: else a filter that makes all texts' shingles goes below the join.
-    dealt = own.select("id", "root", F.size("own").cast("long").alias("size"), F.explode_outer("own").alias("shingle"))
+    dealt = own.select("id", "root", "sketch", F.size("own").cast("long").alias("size"), F.explode_outer("own").alias("shingle"))
     counted = dealt.join(dealt.groupBy("shingle").agg(F.count("*").alias("lines")).where("lines > 1"), "shingle", "left")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("lines", F.lit(1)), "shingle"))
-    placed = counted.select("shingle", "id", "root", "size", "lines", (F.col("size") - place + 1).alias("left"))
+    placed = counted.select("shingle", "id", "root", "sketch", "size", "lines", (F.col("size") - place + 1).alias("left"))
     rarest = placed.where((F.col("left") * 10_000 >= F.col("size") * share) & F.col("lines").isNotNull())
-    return rarest.select("shingle", "id", "root", "size", "left", (F.col("left") * (10_000 + share) >= F.col("size") * (2 * share)).alias("short"))
+    return rarest.select("shingle", "id", "root", "sketch", "size", "left", (F.col("left") * (10_000 + share) >= F.col("size") * (2 * share)).alias("short"))
 
 
 def _extended(links: DataFrame, found: DataFrame, n_lines: int) -> tuple[DataFrame, list[str]]:
@@ -233,6 +242,34 @@ def _joined(pairs: DataFrame, texts: DataFrame, found: DataFrame, n_lines: int,
     return found, paths
 
 
+def _groups(open_: DataFrame, many: int, spent: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Open bands of up to many lines, and larger ones that agree in AGREE values, if any; others are split until they are either."""
+    few, agreeing = open_.where(F.col("n") <= many), None
+    wide = open_.where(F.col("n") > many)
+    while wide.limit(1).count():
+        one = _agreeing(F.col("varies"))
+        agreeing = wide.where(one) if agreeing is None else agreeing.unionByName(wide.where(one))
+        narrower, at = written(_open_bands(_narrower(wide.where(~one))), "line-open")
+        spent.append(at)
+        few, wide = few.unionByName(narrower.where(F.col("n") <= many)), narrower.where(F.col("n") > many)
+    return few, agreeing
+
+
+def _near(open_: DataFrame, texts: DataFrame, marked: DataFrame, similar: float, many: int, spent: list[str]) -> DataFrame:
+    """Pairs (a, b) across components of open bands that may be similar by sketches and marks; spent gets what is written for them."""
+    few, agreeing = _groups(open_, many, spent)
+    may = _agree("sketch_a", "sketch_b") & _may_be_similar("marks_a", "marks_b", similar)
+    pairs = _crossing(*[few.select("band", "id", "sketch", "root").join(marked, "id")] * 2, ["band"], (F.col("root_a") < F.col("root_b")) & may)
+    if agreeing is None or not agreeing.limit(1).count():
+        return pairs
+    rare, at = written(_rare(agreeing, texts, similar), "line-rare")
+    spent.append(at)
+    share = round(similar * 10_000)
+    enough = F.least("left_a", "left_b") * (10_000 + share) >= (F.col("size_a") + F.col("size_b")) * share
+    rare = _crossing(rare, rare.where("short"), ["shingle"], (F.col("root_a") != F.col("root_b")) & (F.col("size_a") >= F.col("size_b")) & enough & _agree("sketch_a", "sketch_b"))
+    return pairs.unionByName(_marked(rare, marked, similar)).distinct()
+
+
 def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> tuple[DataFrame, DataFrame, list[str]]:
     """Places of lines, components, and what is written for these.
 
@@ -244,48 +281,43 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     bands = signed.select("id", "sketch", F.explode(F.array(*[f"k{i}" for i in range(BANDS)])).alias("band"))
     # Of two lines alone in a band the sketches are held against each other at once; most bands that meet by chance end here.
     live = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.bit_xor("sketch").alias("differ"))
-    live = live.where(F.col("first") < F.col("last")).where((F.col("n") > 2) | _agreeing(F.col("differ"))).select("band", "first")
+    live = live.where(F.col("first") < F.col("last")).where((F.col("n") > 2) | _agreeing(F.col("differ"))).select("band", "first", "last", "n")
     live, live_at = written(live, "line-bands")
-    met, met_at = written(bands.join(live, "band").select("band", "id", "sketch", "first"), "line-bands")
+    larger = live.where("n > 2").select("band", "n")
+    met, met_at = written(bands.join(F.broadcast(larger) if larger.count() <= FEW_IDS else larger, "band").select("band", "id", "sketch", "n"), "line-met")
+    small, wide = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
+    meet = lambda left, right, on: left.select("band", F.col("id").alias("a"), F.col("sketch").alias("sketch_a")).join(right.select("band", F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "band").where(on & _agree("sketch_a", "sketch_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    leads = wide.groupBy("band").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", "sketch")).alias(f"lead{i}") for i in range(LEADERS)])
+    leads = leads.select("band", F.explode(F.array(*[F.struct(f"lead{i}.id", f"lead{i}.sketch") for i in range(LEADERS)])).alias("lead")).select("band", "lead.id", "lead.sketch")
+    pairs = live.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
+    pairs = pairs.unionByName(meet(small, small, F.col("a") < F.col("b"))).unionByName(meet(wide, leads, F.col("a") != F.col("b"))).distinct()
+    pairs, pairs_at = written(pairs, "line-pairs")
     drop_path(spark, live_at)
-    n_met = met.count()
+    n_pairs = pairs.count()
     # One more reading of the documents gives the texts of lines that met, and all places of these and of lines that repeat.
-    concerned = signed.where("n > 1").select("id", F.lit(False).alias("has_met")).unionByName(met.select("id", F.lit(True).alias("has_met"))).groupBy("id").agg(F.max("has_met").alias("has_met"))
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(wide.select("id")).select("id", F.lit(True).alias("has_met"))
+    concerned = signed.where("n > 1").select("id", F.lit(False).alias("has_met")).unionByName(compared).groupBy("id").agg(F.max("has_met").alias("has_met"))
     concerned, concerned_at = written(concerned, "line-concerned")
     drop_path(spark, signed_at)
-    few = concerned.count() <= FEW_IDS
+    n_concerned = concerned.count()
+    few = n_concerned <= FEW_IDS
     places = _numbered(docs, id_col, text_col).join(F.broadcast(concerned) if few else concerned, "id").select("id", "doc_id", "text_hash", "line_no", F.when(F.col("has_met"), F.col("line")).alias("line"))
     places, places_at = written(places, "line-places")
     drop_path(spark, concerned_at)
-    texts, texts_at = written(places.where("line is not null").select("id", "line").dropDuplicates(["id"]), "line-texts", n_met)
-    # Each line with the first of its bands.
-    stars = met.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("sketch").alias("sketch_b")).distinct()
-    firsts = met.where("id = first").select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")).distinct()
-    stars = stars.join(firsts, "a").where(_agree("sketch_a", "sketch_b")).select("a", "b")
-    marked, marked_at = written(marks(texts, n_met), "line-marks", n_met, 50_000)
-    links, links_at = written(_verified(_marked(stars, marked, similar), texts, similar), "line-links", n_met, 5_000)
+    texts, texts_at = written(places.where("line is not null").select("id", "line").dropDuplicates(["id"]), "line-texts", n_concerned)
+    marked, marked_at = written(marks(texts, n_concerned), "line-marks", n_concerned, 50_000)
+    links, links_at = written(_verified(_marked(pairs, marked, similar), texts, similar), "line-links", n_pairs, 5_000)
     found, found_at = connected_components(links, "line-components")
-    # Bands that still hold several components: each line with a few more of its band, then what may be
-    # similar across the components that are left.
-    may = _agree("sketch_a", "sketch_b") & _may_be_similar("marks_a", "marks_b", similar)
-    open_, open_at = written(_open_bands(met, found), "line-open", n_met)
-    held = open_.join(marked, "id")
-    pairs = _crossing(held, held.where("leads"), ["band"], (F.col("root_a") != F.col("root_b")) & may)
-    found, paths = _extended(_verified(pairs, texts, similar), found, n_met)
-    open_2, open_2_at = written(_open_bands(open_.where(F.col("n") > 2).select("band", "id", "sketch"), found), "line-open", n_met)
-    pairs = _crossing(*[open_2.where(F.col("n") <= many).join(marked, "id")] * 2, ["band"], (F.col("root_a") < F.col("root_b")) & ~(F.col("leads_a") | F.col("leads_b")) & may)
-    rare_at = None
-    large = open_2.where(F.col("n") > many).select("band", "id", "root")
-    if large.limit(1).count():
-        rare, rare_at = written(_rare(large, texts, similar), "line-rare")
-        share = round(similar * 10_000)
-        enough = F.least("left_a", "left_b") * (10_000 + share) >= (F.col("size_a") + F.col("size_b")) * share
-        rare = _crossing(rare, rare.where("short"), ["shingle"], (F.col("root_a") != F.col("root_b")) & (F.col("size_a") >= F.col("size_b")) & enough)
-        pairs = pairs.unionByName(_marked(rare, marked, similar)).distinct()
-    found, more = _joined(pairs, texts, found, n_met, similar)
-    for at in (met_at, texts_at, marked_at, links_at, open_at, open_2_at, *([rare_at] if rare_at else []), *(paths if more else [])):
+    paths, spent = [places_at, found_at], [met_at, pairs_at, texts_at, marked_at, links_at]
+    # Larger bands that still hold several components: what may be similar across these.
+    placed = wide.join(found, wide["id"] == found["node"], "left").select("band", "id", "sketch", F.coalesce("root", "id").alias("root"), F.lit(-1).alias("last"))
+    open_, open_at = written(_open_bands(placed), "line-open", wide.count())
+    spent.append(open_at)
+    if n_open := open_.count():
+        found, more = _joined(_near(open_, texts, marked, similar, many, spent), texts, found, n_concerned, similar)
+        paths += more
+    for at in spent:
         drop_path(spark, at)
-    paths = [places_at, found_at, *(more or paths)]
     return places.select("id", "doc_id", "text_hash", "line_no"), found, paths
 
 

@@ -1,5 +1,6 @@
 """Cases of which an operator once did only a part."""
 
+import random
 import textwrap
 
 from brightwell.llm import classifier, license_scan, line_dedup
@@ -80,3 +81,20 @@ def test_long_texts_do_not_end_the_training_sample(spark, docs):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = classifier.judge(docs(rows), labels, train_bytes=8192).collect()
     assert len(got) == 40 and all(r.perplexity < 64 for r in got)
+
+
+def test_wide_bands_are_split_without_losing_a_pair(spark):
+    rng = random.Random(4)
+    sketches = {i: 9 | 17 << 30 | sum(rng.randrange(3) << 6 * j for j in range(10) if j not in (0, 5)) for i in range(300)}
+    placed = spark.createDataFrame([(7, i, s, i, -1) for i, s in sketches.items()], "band long, id long, sketch long, root long, last int")
+    few, agreeing = line_dedup._groups(line_dedup._open_bands(placed), 12, [])
+    alike = lambda a, b: sum(not (a ^ b) & 63 << 6 * j for j in range(10)) >= line_dedup.AGREE
+    groups, wide = {}, {}
+    for rows, into in ((few, groups), (agreeing, wide)):
+        for r in rows.collect():
+            into.setdefault(r.band, set()).add(r.id)
+    met = {(a, b) for g in (*groups.values(), *wide.values()) for a in g for b in g if a < b}
+    want = {(a, b) for a in sketches for b in sketches if a < b and alike(sketches[a], sketches[b])}
+    assert want and want <= met
+    assert all(len(g) <= 12 for g in groups.values())
+    assert all(alike(sketches[a], sketches[b]) for g in wide.values() for a in g for b in g)
