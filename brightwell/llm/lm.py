@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.elias_fano import EliasFano, stored
-from brightwell.llm.shared import drop_path, file_system, pieces, put_file, shared_path, small_batches, written
+from brightwell.llm.shared import drop_path, file_system, lean, pieces, put_file, shared_path, small_batches, written
 
 _U = np.uint64
 _HASH = xxhash.xxh64_intdigest
@@ -78,9 +78,13 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of unsigned integers, the first as differences, by byte plane, compressed."""
-    step = np.diff(columns[0], prepend=_U(0))
-    planes = np.concatenate([x.astype(_U).view(np.uint8).reshape(-1, 8).T.ravel() for x in (step, *columns[1:])])
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(step)], _U).tobytes() + planes.tobytes())
+    n = len(columns[0])
+    frame = zstandard.ZstdCompressor(level=1).compressobj(size=8 + 8 * n * len(columns))
+    parts = [frame.compress(np.array([n], _U).tobytes())]
+    for i, x in enumerate(columns):  # one after another: a shard's columns are large
+        x = x.astype(_U, copy=False) if i else np.diff(x, prepend=_U(0))
+        parts.append(frame.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).ravel()))
+    return b"".join([*parts, frame.flush()])
 
 
 def unpack(data: bytes, columns: int) -> list[np.ndarray]:
@@ -335,14 +339,19 @@ def _count_triples(model: Model):
 
 
 def _merged(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Sums of the last column by the others, sorted by these."""
+    """Sums of the last column by the others, sorted by these; columns is emptied."""
     *keys, count = (np.concatenate([c[i] for c in columns]) for i in range(len(columns[0])))
+    columns.clear()
     if len(keys) == 2 and (int(keys[0].max()) + 1) * (int(keys[1].max()) + 1) < 1 << 64:
         order = np.argsort(keys[0] * (keys[1].max() + _U(1)) + keys[1], kind="stable")
     else:
         order = np.lexsort(keys[::-1])
-    keys, count = [k[order] for k in keys], count[order]
-    new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for i, k in enumerate(keys):
+        keys[i] = k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    count, order = count[order], None
     first = np.flatnonzero(new)
     return [*(k[first] for k in keys), np.add.reduceat(count, first)]
 
@@ -410,13 +419,16 @@ def _levels(model: Model, shard: int, key: np.ndarray, third: np.ndarray, count:
     t, types = context + base, np.bincount(context, minlength=n_contexts)[context]
     t[hot], types[hot] = model.hot[context[hot] - size], model.hot_types[context[hot] - size]
     of_pair = np.add.reduceat(count, first) if len(first) else count
-    two = of_pair / (model.counts(t) + types)
+    two = _coded(of_pair / (model.counts(t) + types))
+    t = types = hot = None
     real = third < v
     pair = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(key)]))))[real]
     following = np.bincount(pair, minlength=len(first))  # 0 only for pairs that end in the end token
-    back_off = np.where(following > 0, following / (of_pair + following), 1)
-    three = count[real] / (of_pair + following)[pair]
-    return [*Level.build(context, u, n_contexts, model.n_words), _coded(two), _coded(back_off), *Level.build(pair, third[real], len(first), model.n_words), _coded(three)]
+    back_off = _coded(np.where(following > 0, following / (of_pair + following), 1))
+    three = _coded(count[real] / (of_pair + following)[pair])
+    n_pairs, third = len(first), third[real]
+    key = count = first = of_pair = real = following = None
+    return [*Level.build(context, u, n_contexts, model.n_words), two, back_off, *Level.build(pair, third, n_pairs, model.n_words), three]
 
 
 def _build_levels(model: Model):
@@ -436,26 +448,26 @@ def _of_shards(df: DataFrame, n_shards: int) -> DataFrame:
 def train(texts: DataFrame, folder: str, bits: int) -> Model:
     """Train on the one column of texts; levels go to folder. 2**bits shards, each built in one task."""
     spark, n_shards = texts.sparkSession, 1 << bits
-    counted = texts.mapInArrow(_count_words(bits), COUNTED)
-    sizes = {r["shard"]: r for r in _of_shards(counted, n_shards).mapInArrow(_build_words(folder), "shard int, words long, total long").collect()}
+    counted = texts.mapInArrow(lean(_count_words(bits)), COUNTED)
+    sizes = {r["shard"]: r for r in _of_shards(counted, n_shards).mapInArrow(lean(_build_words(folder)), "shard int, words long, total long").collect()}
     bases = np.concatenate(([0], np.cumsum([sizes[s]["words"] if s in sizes else 0 for s in range(n_shards)]))).astype(np.int64)
     for s in set(range(n_shards)) - set(sizes):  # of an all but empty corpus
         put_file(folder, f"words-{s}", stored([*EliasFano.build(np.zeros(0, _U)).dump(), np.zeros(0, _U)]))
     model = Model(folder, bits, bases, sum(r["total"] for r in sizes.values()))
     # At most 8 words a shard reach that count.
     shards = spark.range(0, n_shards, 1, min(n_shards, 4 * spark.sparkContext.defaultParallelism)).select(F.col("id").cast("int").alias("shard"))
-    hot = shards.mapInArrow(_find_hot(folder, max(1, model.n_tokens // (8 * n_shards))), "shard int, place long").collect()
+    hot = shards.mapInArrow(lean(_find_hot(folder, max(1, model.n_tokens // (8 * n_shards)))), "shard int, place long").collect()
     model.hot = np.array(sorted(int(bases[r["shard"]]) + r["place"] for r in hot), np.int64)
     model.hot_types = np.zeros(len(model.hot), np.int64)
-    triples = texts.mapInArrow(_count_triples(model), COUNTED)
-    built, at = written(_of_shards(triples, n_shards).mapInArrow(_gather_triples(model), "shard int, hot long, types long"), "lm-hot")
+    triples = texts.mapInArrow(lean(_count_triples(model)), COUNTED)
+    built, at = written(_of_shards(triples, n_shards).mapInArrow(lean(_gather_triples(model)), "shard int, hot long, types long"), "lm-hot")
     done = {r["shard"] for r in built.select("shard").distinct().collect()}
     for s in set(range(n_shards)) - done:
         put_file(folder, f"raw-{s}", pack(*[np.zeros(0, _U)] * 3))
     types = {r["hot"]: r["n"] for r in built.where("hot >= 0").groupBy("hot").agg(F.sum("types").alias("n")).collect()}
     drop_path(spark, at)
     model.hot_types = np.array([types.get(int(h), 0) for h in model.hot], np.int64)
-    shards.mapInArrow(_build_levels(model), "shard int").agg(F.count("*")).collect()
+    shards.mapInArrow(lean(_build_levels(model)), "shard int").agg(F.count("*")).collect()
     for s in range(n_shards):
         drop_path(spark, f"{folder}/raw-{s}")
     return model
@@ -490,4 +502,4 @@ def score_documents(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col:
     fold = F.crc32(F.encode(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "UTF-8")) % folds
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("words"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), (fold == held_fold).alias("held_out"))
     model = train(rows.where(~F.col("held_out")).select("words"), shared_path(docs.sparkSession, "lm"), shard_bits(rows.select("words")))
-    return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(lean(_scorer(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +113,37 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Blocks from this size on are mapped on their own, so freeing one gives it back at once.
+_OWN_BLOCK = 2 << 20
+
+
+@functools.cache
+def _allocator():
+    """The C library, told not to keep large freed blocks, with Arrow's memory from it too; None where it has no such settings."""
+    lib = ctypes.CDLL(None)
+    if not hasattr(lib, "mallopt") or not hasattr(lib, "malloc_trim"):
+        return None
+    lib.mallopt(-3, _OWN_BLOCK)  # M_MMAP_THRESHOLD; set, it no longer grows with the blocks that are freed
+    lib.mallopt(-1, _OWN_BLOCK)  # M_TRIM_THRESHOLD
+    lib.malloc_trim.argtypes = [ctypes.c_size_t]
+    pa.set_memory_pool(pa.system_memory_pool())
+    return lib
+
+
+def lean(function: Callable) -> Callable:
+    """function, for mapInArrow, with its worker's freed memory given back: workers stay for later tasks, several to an executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = _allocator()
+        try:
+            yield from function(batches)
+        finally:
+            if lib is not None:
+                lib.malloc_trim(0)
+
+    return run
+
+
 def packed(df: DataFrame, *columns) -> DataFrame:
     """The whole row as struct `row`, beside `columns`: no name of df can clash with a result's."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *columns)
@@ -121,7 +154,7 @@ def map_rows(df: DataFrame, columns: list, function, found: T.StructType) -> Dat
     small_batches(df.sparkSession)
     kept = packed(df, *columns)
     schema = T.StructType([T.StructField("row", kept.schema["row"].dataType), T.StructField("found", found)])
-    return kept.mapInArrow(function, schema)
+    return kept.mapInArrow(lean(function), schema)
 
 
 def pieces(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,10 @@
 import random
 import textwrap
 
-from brightwell.llm import classifier, license_scan, line_dedup
+import numpy as np
+import pyarrow as pa
+
+from brightwell.llm import classifier, license_scan, line_dedup, lm
 
 
 def licenses(text):
@@ -98,3 +101,22 @@ def test_wide_bands_are_split_without_losing_a_pair(spark):
     assert want and want <= met
     assert all(len(g) <= 12 for g in groups.values())
     assert all(alike(sketches[a], sketches[b]) for g in wide.values() for a in g for b in g)
+
+
+def test_workers_give_back_what_scoring_took(spark):
+    rows = spark.range(0, 12_000, 1, 2).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 400), i -> hex(hash(id, i) & 262143))) as text")
+    assert lm.score_documents(rows).where("n_tokens = 401").count() == 12_000
+
+    def resident(batches):
+        for batch in batches:
+            with open("/proc/self/status") as f:
+                kb = next(int(x.split()[1]) for x in f if x.startswith("RssAnon"))
+            yield pa.RecordBatch.from_arrays([pa.array([kb // 1024] * batch.num_rows)], names=["mb"])
+
+    assert max(r.mb for r in spark.range(0, 8, 1, 8).mapInArrow(resident, "mb long").collect()) < 150
+
+
+def test_packed_columns_come_back():
+    for n in (0, 1, 1000):
+        columns = [np.sort(np.random.default_rng(i).integers(0, 1 << 63, n, np.uint64)) if not i else np.random.default_rng(i).integers(0, 9, n, np.uint64) for i in range(3)]
+        assert all((a == b).all() and len(a) == n for a, b in zip(columns, lm.unpack(lm.pack(*columns), 3), strict=True))
