@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from brightwell.llm.elias_fano import stored
 from brightwell.llm.lm import _map, tally
-from brightwell.llm.shared import drop_path, pieces, put_file, shared_path, small_batches, written
+from brightwell.llm.shared import drop_path, lean, pieces, put_file, shared_path, small_batches, written
 
 _U = np.uint64
 ORDER, BITS = 5, 8
@@ -201,7 +201,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(texts: DataFrame) -> tuple[Model, list[str]]:
     """The model of the one column of texts, of bounded size, and where its parts are written."""
-    counted = texts.repartition(8).mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = texts.repartition(8).mapInArrow(lean(_count_grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rows, paths = kneser_ney(counted)
     first = {r["gram"]: r["p"] for r in rows.where("n = 1 and p is not null").collect()}  # SYMBOLS rows at most
     rest = [r["weight"] for r in rows.where("n = 1 and weight is not null").collect()]
@@ -209,8 +209,8 @@ def train(texts: DataFrame) -> tuple[Model, list[str]]:
     for gram, p in first.items():
         single[gram] = p
     folder = shared_path(texts.sparkSession, "classifier-shards")
-    dealt = rows.where("n > 1").mapInArrow(_with_shard, "shard long, n int, gram long, p double, weight double").repartition(N_SHARDS, "shard")
-    shards = sorted(r["shard"] for r in dealt.mapInArrow(_write_shards(folder), "shard long").collect())
+    dealt = rows.where("n > 1").mapInArrow(lean(_with_shard), "shard long, n int, gram long, p double, weight double").repartition(N_SHARDS, "shard")
+    shards = sorted(r["shard"] for r in dealt.mapInArrow(lean(_write_shards(folder)), "shard long").collect())
     for at in paths:
         drop_path(texts.sparkSession, at)
     return Model(np.log(single), folder, shards), [folder]
@@ -219,7 +219,7 @@ def train(texts: DataFrame) -> tuple[Model, list[str]]:
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, 0, 2 << 20):
+            for batch in pieces(whole, 0, 1 << 20):
                 keys, starts = symbols(batch.column(0))
                 n = np.diff(starts)
                 some = np.flatnonzero(n)
@@ -266,7 +266,7 @@ def judge(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_byte
     upto = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("words")).rowsBetween(Window.unboundedPreceding, 0))
     sample, _ = written(sample.withColumn("upto", upto).where(F.col("upto") <= train_bytes).select("doc_id", "words"), "classifier-sample")  # bounded by both limits
     model, paths = train(sample.select("words"))
-    scored, _ = written(rows.mapInArrow(_scorer(model), SCORED), "classifier-scores")
+    scored, _ = written(rows.mapInArrow(lean(_scorer(model)), SCORED), "classifier-scores")
     for at in paths:
         drop_path(docs.sparkSession, at)
     used = sample.select("doc_id").distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.components import connected_components
-from brightwell.llm.shared import pieces, small_batches, written
+from brightwell.llm.shared import lean, pieces, small_batches, written
 
 BITS = 64
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -148,14 +148,14 @@ def fingerprint_rows(docs: DataFrame, width: int = 4, seed: int = 42, id_col: st
     """(doc_id, print, row_hash) of every row; row_hash tells rows of one id apart by their text."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("words"), F.xxhash64(F.col(text_col).cast("string")).alias("row_hash"))
-    return rows.mapInArrow(_fingerprints(width, seed), "doc_id long, print long, row_hash long")
+    return rows.mapInArrow(lean(_fingerprints(width, seed)), "doc_id long, print long, row_hash long")
 
 
 def link_edges(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Forest edges (a, b) over distinct prints, from all tables of the covering family."""
     masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
     dealt = prints.select("print", F.posexplode(F.array(*map(F.lit, masks))).alias("table", "mask")).select("table", F.col("print").bitwiseAND(F.col("mask")).alias("masked"), "print")
-    return dealt.repartition("table", "masked").sortWithinPartitions("table", "masked").mapInArrow(_links(radius), "a long, b long")
+    return dealt.repartition("table", "masked").sortWithinPartitions("table", "masked").mapInArrow(lean(_links(radius)), "a long, b long")
 
 
 def _classes(rows: DataFrame, radius: int) -> DataFrame:
