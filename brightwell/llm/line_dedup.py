@@ -7,14 +7,16 @@ Pairs of these minima are its bands: at a Jaccard similarity of 0.8, two lines s
 chance of 0.995. Six bits of each minimum are its sketch: lines of a band whose sketches agree in
 fewer than AGREE of the VALUES are not compared further (of pairs at 0.8 that costs 0.3 %; by
 tests, recall is over 0.99 in all). Next come their marks, one bit of 64 * WORDS for each shingle
-hash: bits that only one of two lines has bound their similarity from above, which loses no pair.
+hash, turned over by each different shingle of the line. Shingles that two lines share cancel out, so the
+bits in which they differ bound their similarity from above, closely, which loses no pair.
 All others are verified by the exact Jaccard similarity of their shingle sets, and a distributed
 union-find joins them. Of each component the line of the first position stays: by document id
 (null last), then by the text's hash, then by its place in the document.
 
 In bands of up to SMALL lines all pairs whose sketches agree are verified; in larger ones each line
-against LEADERS of the band's lines. Bands that then still hold several components are compared in
-pairs across these, after sketches and marks. Before that, bands of over MANY lines are split by
+against LEADERS of the band's lines. Bands that then still hold several components get FURTHER leaders,
+in ROUNDS, so that a dense group is one component before any of its pairs are made. Those that are open
+still are compared in pairs across components, after sketches and marks. Before that, bands of over MANY lines are split by
 further values of their sketches, one after the other, until a group has few lines or all of it agrees
 in AGREE values: a line goes to one group for each value, so no agreeing pair is lost. Groups that
 agree and still hold over MANY lines are compared where lines share one of their rarest shingles and
@@ -47,9 +49,11 @@ FEW_IDS = 2_000_000
 SMALL = 8
 #: Lines of a larger band that all its others are held against before pairs across components.
 LEADERS = 2
+#: Further leaders of a band of several components in each round, and the rounds before pairs across components.
+FURTHER, ROUNDS = 4, 2
 #: Lines of a group of several components that are compared pair by pair at most.
 MANY = 2000
-#: Rounds in which each line has a pair or two verified before all that are left.
+#: Rounds in which each line has a pair or two verified before all that are left, where there are more pairs than lines.
 PICKS = 2
 CHUNK = 4096
 _OUTER = " \t\n\x0b\x0c\r"
@@ -86,10 +90,11 @@ def signatures(lines: DataFrame, k: int = K) -> DataFrame:
 
 
 def marks(lines: DataFrame, n_lines: int, k: int = K) -> DataFrame:
-    """(id, marks) of about n_lines distinct normal lines (id, line): the number of shingles, repeats included, and their bits."""
+    """(id, marks) of about n_lines distinct normal lines (id, line): the number of different shingles, and the parity of those of each bit."""
     lines = lines.repartition(1 + n_lines // 10_000, "id")  # the only shuffle: what follows is grouped by id first
-    bits = _hashed(lines, k).select("id", F.shiftrightunsigned("h", 6).bitwiseAND(WORDS - 1).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit"))
-    words = bits.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("size"))
+    own = lines.select("id", F.explode(F.array_distinct(shingles(F.col("line"), k))).alias("h"))
+    bits = own.select("id", F.shiftrightunsigned("h", 6).bitwiseAND(WORDS - 1).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit"))
+    words = bits.groupBy("id", "word").agg(F.bit_xor("bit").alias("bits"), F.count("*").alias("size"))
     held = words.groupBy("id").agg(F.sum("size").alias("size"), *[F.max(F.when(F.col("word") == w, F.col("bits"))).alias(f"w{w}") for w in range(WORDS)])
     return held.select("id", F.struct("size", *[F.coalesce(f"w{w}", F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)]).alias("marks"))
 
@@ -146,6 +151,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return two.where(similar_lines(F.col("line_a"), F.col("line_b"), similar)).select("a", "b")
 
 
+def _leads(rows: DataFrame, numbers: range, by: list[str]) -> DataFrame:
+    """A line of each band for each of the numbers, drawn by some columns, with the other columns of rows (band, id, ...)."""
+    drawn = rows.groupBy("band").agg(*[F.min(F.struct(F.xxhash64(*by, F.lit(i)).alias("draw"), *[c for c in rows.columns if c != "band"])).alias(f"lead{i}") for i in numbers])
+    return drawn.select("band", F.explode(F.array(*[f"lead{i}" for i in numbers])).alias("lead")).select("band", "lead.*").drop("draw").distinct()
+
+
 def _open_bands(placed: DataFrame) -> DataFrame:
     """(band, id, sketch, root, last, n, varies) of the bands, of n lines, that hold several components; varies: bits of sketches that are not equal in all."""
     several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_and("sketch").bitwiseXOR(F.bit_or("sketch")).alias("varies"))
@@ -169,6 +180,13 @@ def _crossing(rows: DataFrame, others: DataFrame, by: list[str], meet: Column) -
     return left.join(right, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _led(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each line of an open band and FURTHER leaders of it in other components, if their sketches agree."""
+    rows = open_.select("band", "id", "sketch", "root")
+    first = LEADERS + turn * FURTHER
+    return _crossing(rows, _leads(rows, range(first, first + FURTHER), ["band", "id"]), ["band"], (F.col("root_a") != F.col("root_b")) & _agree("sketch_a", "sketch_b"))
+
+
 def _rare(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """(shingle, id, root, sketch, size, left, short) for each line's rarest shingles that another line has too.
 
@@ -211,15 +229,15 @@ def _extended(links: DataFrame, found: DataFrame, n_lines: int) -> tuple[DataFra
 def _joined(pairs: DataFrame, texts: DataFrame, found: DataFrame, n_lines: int, similar: float) -> tuple[DataFrame, list[str]]:
     """(node, root) of components with the links among pairs (a, b), and where it is written if any is new.
 
-    In the first PICKS rounds each line has one or two of its pairs verified, so that a dense group becomes few
-    components soon; then come all pairs whose lines are in different components still.
+    While there are more pairs than lines, each line has one or two of its pairs verified in PICKS rounds, so that a
+    dense group becomes few components soon; then come all pairs whose lines are in different components still.
     """
     spark, paths = pairs.sparkSession, []
     left, left_at = written(pairs, "line-pairs", n_lines, 5_000)
     for turn in range(PICKS + 1):
-        if not left.limit(1).count():
+        if not (n_left := left.count()):
             break
-        if turn == PICKS:
+        if last := turn == PICKS or n_left <= n_lines:
             found, more = _extended(_verified(left, texts, similar), found, n_lines)
         else:
             drawn = left.withColumn("draw", F.xxhash64("a", "b"))
@@ -238,6 +256,8 @@ def _joined(pairs: DataFrame, texts: DataFrame, found: DataFrame, n_lines: int,
             for at in paths:
                 drop_path(spark, at)
             paths = more
+        if last:
+            break
     drop_path(spark, left_at)
     return found, paths
 
@@ -287,8 +307,7 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     met, met_at = written(bands.join(F.broadcast(larger) if larger.count() <= FEW_IDS else larger, "band").select("band", "id", "sketch", "n"), "line-met")
     small, wide = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
     meet = lambda left, right, on: left.select("band", F.col("id").alias("a"), F.col("sketch").alias("sketch_a")).join(right.select("band", F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "band").where(on & _agree("sketch_a", "sketch_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    leads = wide.groupBy("band").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", "sketch")).alias(f"lead{i}") for i in range(LEADERS)])
-    leads = leads.select("band", F.explode(F.array(*[F.struct(f"lead{i}.id", f"lead{i}.sketch") for i in range(LEADERS)])).alias("lead")).select("band", "lead.id", "lead.sketch")
+    leads = _leads(wide.select("band", "id", "sketch"), range(LEADERS), ["id"])
     pairs = live.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
     pairs = pairs.unionByName(meet(small, small, F.col("a") < F.col("b"))).unionByName(meet(wide, leads, F.col("a") != F.col("b"))).distinct()
     pairs, pairs_at = written(pairs, "line-pairs")
@@ -309,12 +328,18 @@ def line_components(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     links, links_at = written(_verified(_marked(pairs, marked, similar), texts, similar), "line-links", n_pairs, 5_000)
     found, found_at = connected_components(links, "line-components")
     paths, spent = [places_at, found_at], [met_at, pairs_at, texts_at, marked_at, links_at]
-    # Larger bands that still hold several components: what may be similar across these.
-    placed = wide.join(found, wide["id"] == found["node"], "left").select("band", "id", "sketch", F.coalesce("root", "id").alias("root"), F.lit(-1).alias("last"))
-    open_, open_at = written(_open_bands(placed), "line-open", wide.count())
-    spent.append(open_at)
-    if n_open := open_.count():
-        found, more = _joined(_near(open_, texts, marked, similar, many, spent), texts, found, n_concerned, similar)
+    # Larger bands that still hold several components: further leaders, then what may be similar across these.
+    n_open = wide.count()
+    for turn in range(ROUNDS + 1):
+        placed = (open_ if turn else wide).select("band", "id", "sketch").join(found, F.col("id") == F.col("node"), "left").select("band", "id", "sketch", F.coalesce("root", "id").alias("root"), F.lit(-1).alias("last"))
+        open_, open_at = written(_open_bands(placed), "line-open", n_open)
+        spent.append(open_at)
+        if not (n_open := open_.count()):
+            break
+        if turn < ROUNDS:
+            found, more = _extended(_verified(_marked(_led(open_, turn), marked, similar), texts, similar), found, n_concerned)
+        else:
+            found, more = _joined(_near(open_, texts, marked, similar, many, spent), texts, found, n_concerned, similar)
         paths += more
     for at in spent:
         drop_path(spark, at)

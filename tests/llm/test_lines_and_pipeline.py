@@ -116,6 +116,49 @@ def test_marks_bound_similarity_from_above(spark):
     assert sum(not r.may for r in got) > 0.8 * len(got)
 
 
+def near_copies(rng, n):
+    """Lines that are one line with one to twelve of its words replaced: many of them lie about the similarity that counts."""
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(300)]
+    base = rng.choices(words, k=70)
+    lines = []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.sample(range(70), rng.randint(1, 12)):
+            own[at] = rng.choice(words)
+        lines.append(" ".join(own))
+    return sorted(set(lines))
+
+
+def test_a_dense_group_yields_few_pairs(spark, docs, monkeypatch):
+    lines = near_copies(random.Random(11), 600)
+    made, near = [], line_dedup._near
+    monkeypatch.setattr(line_dedup, "_near", lambda *args: made.append(near(*args).count()) or near(*args))
+    _, found, _ = line_dedup.line_components(docs(list(enumerate(lines))))
+    root = {r.node: r.root for r in found.collect()}
+    assert sum(made) <= len(lines)
+    ids = {r.line: r.id for r in line_dedup._numbered(docs(list(enumerate(lines))), "doc_id", "text").select("line", "id").collect()}
+    sets = [frozenset(x[i : i + 9] for i in range(len(x) - 8)) for x in lines]
+    links = [(lines[i], lines[j]) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    whole = components(lines, links)
+    assert len(links) > 10 * len(lines) and len(set(whole.values())) < len(lines)
+    by_id = {v: k for k, v in ids.items()}
+    assert all(whole[by_id[node]] == whole[by_id[r]] for node, r in root.items())
+    joined = sum(root.get(ids[a], ids[a]) == root.get(ids[b], ids[b]) for a, b in links)
+    assert joined >= 0.99 * len(links)
+
+
+def test_marks_tell_lines_apart_that_share_most(spark):
+    from pyspark.sql import functions as F
+
+    lines = near_copies(random.Random(12), 150) + ["ab " * 40 + "cd", "ab " * 41 + "cd"]  # the last two: the same shingles, other numbers of times
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    marked = line_dedup.marks(frame, len(lines)).join(frame, "id")
+    pairs = marked.toDF("a", "marks_a", "line_a").join(marked.toDF("b", "marks_b", "line_b"), F.col("a") < F.col("b"))
+    got = pairs.select(line_dedup._may_be_similar("marks_a", "marks_b", 0.8).alias("may"), line_dedup.similar_lines(F.col("line_a"), F.col("line_b"), 0.8).alias("is")).collect()
+    assert all(r.may or not r["is"] for r in got)
+    assert sum(r["is"] for r in got) > 300 and sum(r.may and not r["is"] for r in got) < 0.1 * sum(not r["is"] for r in got)
+
+
 def test_very_long_lines(spark, docs):
     rng = random.Random(10)
     long = "".join(rng.choices("abcdefghij klmnop", k=60_000)).strip()
