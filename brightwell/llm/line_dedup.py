@@ -91,8 +91,8 @@ def signatures(lines: DataFrame, k: int = K) -> DataFrame:
 
 def marks(lines: DataFrame, n_lines: int, k: int = K) -> DataFrame:
     """(id, marks) of about n_lines distinct normal lines (id, line): the number of different shingles, and the parity of those of each bit."""
-    lines = lines.repartition(1 + n_lines // 10_000, "id")  # the only shuffle: what follows is grouped by id first
-    own = lines.select("id", F.explode(F.array_distinct(shingles(F.col("line"), k))).alias("h"))
+    lines = lines.repartition(1 + n_lines // 2_500, "id")  # the only shuffle: what follows is grouped by id first
+    own = _hashed(lines, k).select("id", "h").distinct()  # no arrays: a line may be very long
     bits = own.select("id", F.shiftrightunsigned("h", 6).bitwiseAND(WORDS - 1).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit"))
     words = bits.groupBy("id", "word").agg(F.bit_xor("bit").alias("bits"), F.count("*").alias("size"))
     held = words.groupBy("id").agg(F.sum("size").alias("size"), *[F.max(F.when(F.col("word") == w, F.col("bits"))).alias(f"w{w}") for w in range(WORDS)])
