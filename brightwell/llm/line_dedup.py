@@ -55,6 +55,8 @@ FURTHER, ROUNDS = 4, 2
 MANY = 2000
 #: Rounds in which each line has a pair or two verified before all that are left, where there are more pairs than lines.
 PICKS = 2
+#: Shingles of a line that are one row on the way to its minima.
+AT_ONCE = 8
 CHUNK = 4096
 _OUTER = " \t\n\x0b\x0c\r"
 
@@ -67,21 +69,25 @@ def _rotated(hash_: Column, bits: int) -> Column:
     return F.shiftleft(hash_, bits).bitwiseOR(F.shiftrightunsigned(hash_, 64 - bits)) if bits else hash_
 
 
-def _hashed(lines: DataFrame, k: int) -> DataFrame:
-    """(id, at, h): a row for each shingle of normal lines (id, line), cut from UTF-32, where each character has its place."""
+def _hashed(lines: DataFrame, k: int, at_once: int = 1) -> DataFrame:
+    """(id, at, h0, h1, ...): a row for at_once shingles of normal lines (id, line), cut from UTF-32, where each character has its place.
+
+    Where a line has no more of them, its last one is repeated.
+    """
     last = F.greatest(F.col("size") - k, F.lit(0))
     cut = lines.select("id", F.encode("line", "utf-32").alias("wide"), F.length("line").alias("size"))
-    cut = cut.select("id", "wide", "size", F.explode(F.sequence(F.lit(0), last, F.lit(CHUNK))).alias("start"))
-    cut = cut.select("id", "wide", F.explode(F.sequence("start", F.least(F.col("start") + (CHUNK - 1), last))).alias("at"))
-    return cut.select("id", "at", F.xxhash64(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * k))).alias("h"))
+    cut = cut.select("id", "wide", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(CHUNK))).alias("start"))
+    cut = cut.select("id", "wide", "last", F.explode(F.sequence("start", F.least(F.col("start") + (CHUNK - 1), F.col("last")), F.lit(at_once))).alias("at"))
+    return cut.select("id", "at", *[F.xxhash64(F.substring("wide", F.least(F.col("at") + i, F.col("last")) * 4 + 1, F.lit(4 * k))).alias(f"h{i}") for i in range(at_once)])
 
 
 def signatures(lines: DataFrame, k: int = K) -> DataFrame:
     """(id, n, k0, k1, ..., sketch) of the distinct ones of normal lines (id, line): n rows have that line.
 
-    Every shingle is a row that is counted into its line's minima before the shuffle.
+    AT_ONCE shingles are a row that is counted into its line's minima before the shuffle.
     """
-    least = _hashed(lines, k).groupBy("id").agg(F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("n"), *[F.min(_rotated(F.col("h"), 64 * i // VALUES)).alias(f"m{i}") for i in range(VALUES)])
+    lowest = [F.least(*[_rotated(F.col(f"h{j}"), 64 * i // VALUES) for j in range(AT_ONCE)]) for i in range(VALUES)]
+    least = _hashed(lines, k, AT_ONCE).groupBy("id").agg(F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("n"), *[F.min(m).alias(f"m{i}") for i, m in enumerate(lowest)])
     keys = [F.xxhash64(F.lit(i), f"m{i}", f"m{i + BANDS}").alias(f"k{i}") for i in range(BANDS)]
     sketch = F.lit(0).cast("long")
     for i in range(VALUES):
@@ -92,7 +98,15 @@ def signatures(lines: DataFrame, k: int = K) -> DataFrame:
 def marks(lines: DataFrame, n_lines: int, k: int = K) -> DataFrame:
     """(id, marks) of about n_lines distinct normal lines (id, line): the number of different shingles, and the parity of those of each bit."""
     lines = lines.repartition(1 + n_lines // 2_500, "id")  # the only shuffle: what follows is grouped by id first
-    own = _hashed(lines, k).select("id", "h").distinct()  # no arrays: a line may be very long
+    # Repeats are told within a line's array, which costs less than to group them; arrays only of lines of bounded length.
+    # Outer, although there is always one shingle: else a filter on the array may make it once more.
+    own = lines.where(F.length("line") <= CHUNK).select("id", F.explode_outer(F.array_distinct(shingles(F.col("line"), k))).alias("h"))
+    long = _hashed(lines.where(F.length("line") > CHUNK), k).select("id", F.col("h0").alias("h")).distinct()
+    return _parities(own).unionByName(_parities(long))
+
+
+def _parities(own: DataFrame) -> DataFrame:
+    """(id, marks) of the different shingles (id, h) of lines, which are grouped by id before."""
     bits = own.select("id", F.shiftrightunsigned("h", 6).bitwiseAND(WORDS - 1).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")).alias("bit"))
     words = bits.groupBy("id", "word").agg(F.bit_xor("bit").alias("bits"), F.count("*").alias("size"))
     held = words.groupBy("id").agg(F.sum("size").alias("size"), *[F.max(F.when(F.col("word") == w, F.col("bits"))).alias(f"w{w}") for w in range(WORDS)])
@@ -133,7 +147,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, line_no, id, line) of every line with a word, line in normal form."""
     text = F.col(f"`{text_col}`").cast("string")
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "text_hash", "line_no", normal(F.col("line")).alias("line")).where("line != ''")
+    # A filter on the normal form would put each line in lower case twice.
+    lines = lines.where(F.btrim("line", F.lit(_OUTER)) != "").select("doc_id", "text_hash", "line_no", normal(F.col("line")).alias("line"))
     return lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), "line")
 
 

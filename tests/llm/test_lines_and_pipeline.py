@@ -159,6 +159,32 @@ def test_marks_tell_lines_apart_that_share_most(spark):
     assert sum(r["is"] for r in got) > 300 and sum(r.may and not r["is"] for r in got) < 0.5 * sum(r["is"] for r in got)
 
 
+def test_signatures_and_marks_make_few_rows(spark, monkeypatch):
+    """Shingles are not a row each, and minima, numbers and parities are those of shingles cut one by one."""
+    from pyspark.sql import functions as F
+
+    lines = sorted(set(many_kinds(random.Random(13))))[:200] + ["", "a", "nine char", "ten chars!", "é😀" * 40, "ab " * 40, "".join(chr(0x4E00 + i * 7 % 5000) for i in range(9_001)), "ab " * 2_000]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    made, hashed = [], line_dedup._hashed
+    monkeypatch.setattr(line_dedup, "_hashed", lambda *args, **named: made.append(hashed(*args, **named).count()) or hashed(*args, **named))
+    signed = {r.id: r for r in line_dedup.signatures(frame).collect()}
+    marked = {r.id: r.marks for r in line_dedup.marks(frame, len(lines)).collect()}
+    cut = [[x[i : i + 9] for i in range(max(1, len(x) - 8))] for x in lines]
+    assert made[0] <= sum(map(len, cut)) // 8 + 2 * len(lines) and sum(made[1:]) <= sum(len(c) for c in cut if len(c) > 4_000)
+    rows = spark.createDataFrame([(i, x, len(c)) for i, c in enumerate(cut) for x in set(c)], "id long, x string, n int").select("id", F.xxhash64(F.substring(F.encode("x", "utf-32"), 1, 36)).alias("h"))
+    held = rows.groupBy("id").agg(F.collect_list("h").alias("h")).collect()
+    assert len(held) == len(signed) == len(marked) == len(lines)
+    for r in held:
+        own = [h % 2**64 for h in r.h]
+        turned = lambda h, b: (h << b | h >> 64 - b) % 2**64
+        least = [min(turned(h, 64 * i // 10) ^ 1 << 63 for h in own) ^ 1 << 63 for i in range(10)]
+        assert signed[r.id].n == 1 and signed[r.id].sketch == sum((m & 63) << 6 * i for i, m in enumerate(least))
+        words = [0] * 32
+        for h in own:
+            words[h >> 6 & 31] ^= 1 << (h & 63)
+        assert marked[r.id].size == len(own) and [marked[r.id][f"w{i}"] % 2**64 for i in range(32)] == words
+
+
 def test_very_long_lines(spark, docs):
     rng = random.Random(10)
     long = "".join(rng.choices("abcdefghij klmnop", k=60_000)).strip()
