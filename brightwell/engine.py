@@ -77,7 +77,7 @@ class Engine:
         out: list[Outcome] = []
         for statement in parse(text):
             if isinstance(statement, ast.Select):
-                out.append(Outcome(bound=binder.select(statement)))
+                out.append(Outcome(bound=_translated(lambda s=statement: binder.select(s))))
             elif isinstance(statement, ast.CreateTable):
                 binder.create(statement)
             elif isinstance(statement, ast.Insert):

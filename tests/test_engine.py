@@ -5,6 +5,7 @@ import datetime
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brightwell import DBNULL, Engine, SqlError, UnsupportedError
 from brightwell.errors import InvalidOperationError
@@ -137,6 +138,35 @@ def test_top(engine):
     assert number_of(engine, "select top (1 / 0) 1") == 8134
 
 
+def test_top_of_many_rows(engine, tmp_path):
+    """Each row once and as many as asked for, whichever partition the last of them is in, and no limit, which would bring them to one task."""
+    made = engine.spark.range(0, 40_000, 1, 7).select(F.col("id").alias("place"), (F.col("id") % 10).cast("int").alias("v"))
+    made.where("place >= 6000 and place < 13000 or place > 20000").write.parquet(str(tmp_path / "t"))
+    files = engine.spark.read.parquet(str(tmp_path / "t"))
+    shuffled = files.repartition("v").unionAll(files.groupBy("v").agg(F.max("place").alias("place")).select(-F.col("place"), "v"))
+    for name, source in (("files", files), ("shuffled", shuffled)):
+        engine.register(name, source)
+        whole = {r[0] for r in source.collect()}
+        for n in (10_001, 17_500, len(whole) - 1, len(whole), 9_223_372_036_854_775_807):
+            frame = engine.sql(f"select top (@n) place, v as c from {name}", {"n": n})
+            assert "Limit" not in frame._jdf.queryExecution().optimizedPlan().toString()
+            got = [r[0] for r in frame.collect()]
+            assert len(got) == len(set(got)) == min(n, len(whole)) and set(got) <= whole
+        nested = rows(engine, f"select top 11000 place from (select top 20000 place, v from {name} where v <> 4) as d where v > 2")
+        assert len(nested) == len(set(nested)) == 11_000 and {abs(r[0]) % 10 for r in nested} == {3, 5, 6, 7, 8, 9}
+        assert number_of(engine, f"select top 20000 place / (v - v) as c from {name} where v > -1") == 8134
+        assert number_of(engine, f"select top 20000 v from {name} where v / (v - v) = 1") == 8134
+    parts = [len(rows(engine, f"select v from (select top 20000 v from files) as d where v {o} 2")) for o in ("<=", ">")]
+    assert sum(parts) == 20_000 and all(parts)
+    assert rows(engine, "select top 1000000 v from files where v > 99") == [] and rows(engine, "select top 1000000 1 as c") == [(1,)]
+
+
+def test_top_of_many_rows_of_a_stream(engine):
+    engine.register("s", engine.spark.readStream.schema("r_regionkey int, r_name string").parquet("/root/testdata/sf0.001/region.parquet*"))
+    with pytest.raises(UnsupportedError):
+        stream(engine, "select top 1000000 r_name from s")
+
+
 def test_tables(engine):
     command = engine.connect().create_command("create table T ( a int, b smallint null, c bit not null )")
     assert command.execute_non_query() == -1
